@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, decontam, toxicity
+from loomline.llm import bpe, decontam, near_dup, toxicity
 from loomline.llm.spool import Spool
 
 
@@ -14,6 +14,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, score_col="toxicity_score").where(f"toxicity_score < {toxicity.THRESHOLD}").drop("toxicity_score")
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least id stays."""
+    kept = near_dup.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too much of the benchmark go."""
     found = decontam.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -27,6 +33,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
     ("benchmark_decontamination", drop_contaminated),
     ("bpe", encode),
 ]
