@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomline.llm import bpe, decontam, near_dup, toxicity
+from loomline.llm import bpe, decontam, near_dup, suffix_dedup, toxicity
 from loomline.llm.spool import Spool
 
 
@@ -20,6 +21,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the passages that a document with a smaller id has."""
+    cut = suffix_dedup.without_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too much of the benchmark go."""
     found = decontam.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -34,6 +41,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
     ("benchmark_decontamination", drop_contaminated),
     ("bpe", encode),
 ]
