@@ -113,15 +113,16 @@ def _runs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rising = np.append(t[change] < t[change + 1], False)
     size = np.diff(np.r_[-1, last])
     s_type = np.repeat(rising, size)
-    left = np.repeat(last, size) - np.arange(n) + 1
-    return s_type, np.minimum(left, 255).astype(np.uint8)
+    left = np.repeat(last.astype(np.int32), size)
+    left -= np.arange(n, dtype=np.int32)
+    return s_type, (np.minimum(left, 254) + 1).astype(np.uint8)
 
 
 def _sort_seeds(t: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The positions in the order of their first `depth` symbols, and the common prefix with the one before."""
     bits = int(t.max(initial=0) + 1).bit_length()
     per = 62 // bits
-    padded = np.concatenate([t.astype(np.int64) + 1, np.zeros(depth + per, np.int64)])
+    padded = np.concatenate([t.astype(np.int32) + 1, np.zeros(depth + per, np.int32)])
 
     def key(p: np.ndarray, k: int) -> np.ndarray:
         out = np.zeros(len(p), np.int64)

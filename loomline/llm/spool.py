@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -34,9 +37,14 @@ class Spool:
         self.spark, self.path = spark, f"{shared_dir(spark)}/loomline/{what}-{uuid.uuid4().hex}"
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
-        """Write and read again."""
-        at = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+        """Write and read again. The shuffle files that the write has made go as it ends."""
+        at, conf = f"{self.path}/{name}", self.spark.conf
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+        finally:
+            conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:

@@ -23,7 +23,6 @@ length and a 64-bit hash, equal strings by the suffix array.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ from loomline.llm.spool import Spool
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text for each shard, and of text whose anchors one message holds.
-SHARD_BYTES, MESSAGE_BYTES = 16_000_000, 24_000_000
+SHARD_BYTES, MESSAGE_BYTES = 4_000_000, 16_000_000
 _KEY = [("id", np.int64), ("h", np.int64)]
 
 
@@ -286,13 +285,16 @@ def shard_repeats(ids: np.ndarray, start: np.ndarray, strings: np.ndarray, text:
     k_size, k_strings = size[first], strings[first]
     k_off = np.cumsum(k_size + 1) - k_size - 1
     sequence = np.zeros(int((k_size + 1).sum()), np.uint16)  # bytes from 1; 0 ends a stretch
-    place = np.repeat(k_off - np.cumsum(k_size) + k_size, k_size) + np.arange(k_size.sum())
-    sequence[place] = text[np.repeat(off[first] - np.cumsum(k_size) + k_size, k_size) + np.arange(k_size.sum())]
-    sequence[place] += 1
+    whole = np.zeros(len(sequence), bool)  # where a whole string begins
+    for lo in range(0, len(first), 8192):
+        some = slice(lo, lo + 8192)
+        n, at = k_size[some], k_off[some]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        sequence[np.repeat(at, n) + step] = text[np.repeat(off[first[some]], n) + step].astype(np.uint16) + 1
+        n = k_strings[some]
+        whole[np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = True
     # the least document of each group of equal strings, where that is another stretch's
-    owner = np.repeat(np.arange(len(first)), k_size + 1)
-    whole = np.zeros(len(sequence), bool)
-    whole[np.repeat(k_off - np.cumsum(k_strings) + k_strings, k_strings) + np.arange(k_strings.sum())] = True
+    owner = np.repeat(np.arange(len(first), dtype=np.int32), k_size + 1)
     earlier = np.zeros(len(sequence), bool)
     for position, common in induced.suffix_blocks(sequence, length, in_memory):
         ok = whole[position]
@@ -371,12 +373,6 @@ def _cut(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[p
             lo = hi
 
 
-def _free(spark) -> None:
-    """Let the driver drop the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept bytes) of every row."""
     out = _kept(docs, id_col, text_col, length, gram, [], False)
@@ -405,15 +401,11 @@ def _kept(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, c
     sent = long_enough.mapInArrow(_send_anchors(length, gram, shards), message)
     found = arranged(sent).mapInArrow(_mark_shared(shards), message)
     marks = spool.table("marks", arranged(found).mapInArrow(_by_document(lambda place: np.sort(place).astype("<u4").tobytes()), marked))
-    del sent, found
-    _free(spark)
 
     both = long_enough.join(marks, (F.col("id") == F.col("k_id")) & (F.col("h") == F.col("k_h"))).select("id", "h", "text", "value")
     stretches = arranged(both.mapInArrow(_send_stretches(length, gram, shards), message))
     repeats = stretches.mapInArrow(_sort_shards(length, shards), message)
     cuts = spool.table("cuts", arranged(repeats).mapInArrow(_by_document(_spans(length)), marked))
-    del both, stretches, repeats
-    _free(spark)
 
     carried = F.struct(F.lit(0).alias("_"), *[docs[c] for c in carry]).alias("carried")
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), carried)
