@@ -148,7 +148,8 @@ def reconcile(spark: SparkSession, p: Parameters) -> dict[str, DataFrame]:
     earlier = reports.newest_report(folder, p.report_prefix)
     if earlier:
         before = read_workbooks(spark, folder, os.path.basename(earlier), ".xlsx", "Consolidado_DA", only_file=os.path.basename(earlier), add_filename=False).withColumnRenamed("QA_CAMPO", "QA_Campo")
-        out["changes"] = Q.changes(before, report, ["TABLA", "CAMPO"])
+        rows = Q.changes(before, report, ["TABLA", "CAMPO"]).collect()  # three rows, taken before the earlier report moves
+        out["changes"] = spark.createDataFrame(rows, "Tipo string, Cantidad bigint, Detalle string")
     hints: dict[str, DataFrame] = {}
     if p.hints:
         trained, _ = train_domains(model, ["CAMPO_FISICO", "TABLA_FISICA"], "PARENT_DOMAIN")
