@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import ann, bpe, decontam, html_main, license_scan, near_dup, suffix_dedup, toxicity, transcripts
+from loomline.llm import ann, bpe, decontam, html_main, license_scan, near_dup, passage_chain, suffix_dedup, toxicity, transcripts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,12 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, with the documents of smaller ids that it shares a passage with."""
+    found = passage_chain.passages(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_repeated", "n_passages", F.array_sort(F.array_distinct(F.col("passages.other"))).alias("others"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(_table(spark, sf_dir, "pages"))
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_passages": op6_passages,
     "op7_main_text": op7_main_text,
     "op8_license_scan": op8_license_scan,
     "op9_neighbours": op9_neighbours,

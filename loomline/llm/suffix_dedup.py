@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from loomline.llm import induced
 from loomline.llm.bytewords import mix, pieces, prefix_sums, span_hash, text_bytes
+from loomline.llm.messages import KEY, MARKED, MESSAGE, by_document, by_key, pack, rows, split, to_documents, unpack
 from loomline.llm.spool import Spool
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text for each shard, and of text whose anchors one message holds.
 SHARD_BYTES, MESSAGE_BYTES = 4_000_000, 16_000_000
-_KEY = [("id", np.int64), ("h", np.int64)]
 
 
 # -- anchors -----------------------------------------------------------------------------------
@@ -90,75 +90,6 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-# -- packed messages ---------------------------------------------------------------------------
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed message."""
-    raw = b"".join([np.array([len(a.dtype.str), a.nbytes], "<i8").tobytes() + a.dtype.str.encode() + a.tobytes() for a in arrays])
-    return np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unpack(message: bytes) -> list[np.ndarray]:
-    raw = memoryview(pa.decompress(message[8:], int(np.frombuffer(message[:8], "<i8")[0]), "zstd", asbytes=True))
-    out, at = [], 0
-    while at < len(raw):
-        n, size = np.frombuffer(raw[at : at + 16], "<i8").tolist()
-        out.append(np.frombuffer(raw[at + 16 + n : at + 16 + n + size], bytes(raw[at + 16 : at + 16 + n]).decode()))
-        at += 16 + n + size
-    return out
-
-
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """(key, messages) of sorted rows (key, message)."""
-    key, held = None, []
-    for batch in batches:
-        for k, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if held and k != key:
-                yield key, held
-                held = []
-            key = k
-            held.append(m)
-    if held:
-        yield key, held
-
-
-def _rows(keys: list[int], messages: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(messages, pa.binary())], ["key", "message"])
-
-
-def _split(by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(value, places) of each value of a small range, places ascending."""
-    order = np.argsort(by.astype(np.uint32), kind="stable")
-    cut = np.flatnonzero(np.r_[True, by[order][1:] != by[order][:-1]]) if len(by) else []
-    for lo, hi in zip(cut, [*cut[1:], len(by)], strict=True):
-        yield int(by[order[lo]]), order[lo:hi]
-
-
-def _to_documents(keys: np.ndarray, doc: np.ndarray, parts: int, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Messages to the document parts: the documents, how many values each has, and the values in the order of doc."""
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    used, first = np.unique(doc, return_index=True)
-    count = np.diff(np.append(first, len(doc)))
-    where = (mix(keys["id"][used].astype(np.uint64) ^ keys["h"][used].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    for part, at in _split(where):
-        take = np.repeat(first[at] - np.cumsum(count[at]) + count[at], count[at]) + np.arange(count[at].sum())
-        yield part, _pack(keys[used[at]].view(np.int64), count[at].astype(np.uint32), *[v[order][take] for v in values])
-
-
-def _merge_documents(messages: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(keys, offsets, values) of all messages to one part, by document."""
-    got = [_unpack(m) for m in messages]
-    keys = np.concatenate([g[0] for g in got]).view(_KEY)
-    count = np.concatenate([g[1] for g in got]).astype(np.int64)
-    every, number = np.unique(keys, return_inverse=True)
-    doc = np.repeat(number, count)
-    values = [np.concatenate(x) for x in zip(*[g[2:] for g in got], strict=True)]
-    order = np.lexsort((values[0], doc))
-    return every, np.searchsorted(doc[order], np.arange(len(every) + 1)), [v[order] for v in values]
-
-
 # -- the four steps ----------------------------------------------------------------------------
 
 
@@ -173,19 +104,19 @@ def _send_anchors(length: int, gram: int, shards: int):
             doc = np.concatenate([d + b for (_, d, _, _), b in zip(held, base, strict=False)])
             place, h = np.concatenate([p for *_, p, _ in held]), np.concatenate([x for *_, x in held])
             out = []
-            for shard, at in _split(_shard(h, shards)):
+            for shard, at in split(_shard(h, shards)):
                 used, first = np.unique(doc[at], return_index=True)
                 count = np.diff(np.append(first, len(at)))
                 step = np.diff(place[at], prepend=0)
                 step[first] = place[at][first]
                 low = h[at] & np.uint64(0xFFFFFFFF)
                 high = (h[at] >> np.uint64(48)).astype(np.uint16)
-                out.append((shard, _pack(keys[used].view(np.int64), count.astype(np.uint32), step.astype(np.uint32), low.astype(np.uint32), high)))
-            return _rows([k for k, _ in out], [m for _, m in out])
+                out.append((shard, pack(keys[used].view(np.int64), count.astype(np.uint32), step.astype(np.uint32), low.astype(np.uint32), high)))
+            return rows([k for k, _ in out], [m for _, m in out])
 
         for batch in batches:
             buf, off = text_bytes(batch.column(2))
-            keys = np.empty(len(batch), _KEY)
+            keys = np.empty(len(batch), KEY)
             keys["id"], keys["h"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lo = 0
             while lo < len(batch):
@@ -206,9 +137,9 @@ def _send_anchors(length: int, gram: int, shards: int):
 
 def _mark_shared(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, messages in _by_key(batches):
-            got = [_unpack(m) for m in messages]
-            keys = np.concatenate([g[0].view(_KEY) for g in got])
+        for _, messages in by_key(batches):
+            got = [unpack(m) for m in messages]
+            keys = np.concatenate([g[0].view(KEY) for g in got])
             count = np.concatenate([g[1] for g in got]).astype(np.int64)
             doc = np.repeat(np.arange(len(keys)), count)
             step = np.concatenate([g[2] for g in got]).astype(np.int64)
@@ -222,22 +153,8 @@ def _mark_shared(parts: int):
             shared = np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)
             at = order[np.repeat(shared, np.diff(np.append(start, len(order))))]
             if len(at):
-                out = list(_to_documents(keys, doc[at], parts, place[at].astype(np.uint32)))
-                yield _rows([k for k, _ in out], [m for _, m in out])
-
-    return run
-
-
-def _by_document(finish):
-    """One row a document with what `finish` makes of its values."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, messages in _by_key(batches):
-            keys, off, values = _merge_documents(messages)
-            for lo in range(0, len(keys), 4096):
-                hi = min(lo + 4096, len(keys))
-                raw = [finish(*[v[off[i] : off[i + 1]] for v in values]) for i in range(lo, hi)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys["id"][lo:hi])), pa.array(np.ascontiguousarray(keys["h"][lo:hi])), pa.array(raw, pa.binary())], ["k_id", "k_h", "value"])
+                out = list(to_documents(keys, doc[at], parts, place[at].astype(np.uint32)))
+                yield rows([k for k, _ in out], [m for _, m in out])
 
     return run
 
@@ -250,20 +167,20 @@ def _send_stretches(length: int, gram: int, shards: int):
             while lo < len(batch):
                 hi = max(lo + 1, int(np.searchsorted(off_all, off_all[lo] + MESSAGE_BYTES, "right")) - 1)
                 buf, off = buf_all[off_all[lo] : off_all[hi]], off_all[lo : hi + 1] - off_all[lo]
-                keys = np.empty(hi - lo, _KEY)
+                keys = np.empty(hi - lo, KEY)
                 keys["id"], keys["h"] = batch.column(0).slice(lo, hi - lo).to_numpy(), batch.column(1).slice(lo, hi - lo).to_numpy()
                 doc, start, strings, h = anchors(buf, off, length, gram)
                 begin = np.searchsorted(doc, np.arange(hi - lo))
                 at = np.concatenate([begin[i] + np.frombuffer(m, np.uint32).astype(np.int64) for i, m in enumerate(batch.column(3).slice(lo, hi - lo).to_pylist())])
                 doc, start, strings, h = doc[at], start[at], strings[at], h[at]
                 out = []
-                for shard, own in _split(_shard(h, shards)):
+                for shard, own in split(_shard(h, shards)):
                     size = strings[own] + length - 1
                     take = np.repeat(off[doc[own]] + start[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
                     used, first = np.unique(doc[own], return_index=True)
-                    out.append((shard, _pack(keys[used].view(np.int64), np.diff(np.append(first, len(own))).astype(np.uint32), start[own].astype(np.uint32), strings[own].astype(np.uint8), buf[take])))
+                    out.append((shard, pack(keys[used].view(np.int64), np.diff(np.append(first, len(own))).astype(np.uint32), start[own].astype(np.uint32), strings[own].astype(np.uint8), buf[take])))
                 if out:
-                    yield _rows([k for k, _ in out], [m for _, m in out])
+                    yield rows([k for k, _ in out], [m for _, m in out])
                 lo = hi
 
     return run
@@ -323,17 +240,17 @@ def shard_repeats(ids: np.ndarray, start: np.ndarray, strings: np.ndarray, text:
 
 def _sort_shards(length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, messages in _by_key(batches):
-            got = [_unpack(m) for m in messages]
+        for _, messages in by_key(batches):
+            got = [unpack(m) for m in messages]
             messages.clear()
-            keys = np.concatenate([g[0].view(_KEY) for g in got])
+            keys = np.concatenate([g[0].view(KEY) for g in got])
             doc = np.repeat(np.arange(len(keys)), np.concatenate([g[1] for g in got]).astype(np.int64))
             start, strings, text = (np.concatenate([g[i] for g in got]) for i in (2, 3, 4))
             del got
             which, at, n = shard_repeats(keys["id"][doc], start.astype(np.int64), strings.astype(np.int64), text, length)
             if len(which):
-                out = list(_to_documents(keys, doc[which], parts, at.astype(np.uint32), n.astype(np.uint32)))
-                yield _rows([k for k, _ in out], [m for _, m in out])
+                out = list(to_documents(keys, doc[which], parts, at.astype(np.uint32), n.astype(np.uint32)))
+                yield rows([k for k, _ in out], [m for _, m in out])
 
     return run
 
@@ -395,17 +312,16 @@ def _kept(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, c
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(max(16, min(-(-total // SHARD_BYTES), 1 << 20)))
     long_enough = own.where(F.octet_length("text") >= length)
-    message, marked = "key bigint, message binary", "k_id bigint, k_h bigint, value binary"
     arranged = lambda df: df.repartition(shards, "key").sortWithinPartitions("key")
 
-    sent = long_enough.mapInArrow(_send_anchors(length, gram, shards), message)
-    found = arranged(sent).mapInArrow(_mark_shared(shards), message)
-    marks = spool.table("marks", arranged(found).mapInArrow(_by_document(lambda place: np.sort(place).astype("<u4").tobytes()), marked))
+    sent = long_enough.mapInArrow(_send_anchors(length, gram, shards), MESSAGE)
+    found = arranged(sent).mapInArrow(_mark_shared(shards), MESSAGE)
+    marks = spool.table("marks", arranged(found).mapInArrow(by_document(lambda place: np.sort(place).astype("<u4").tobytes()), MARKED))
 
     both = long_enough.join(marks, (F.col("id") == F.col("k_id")) & (F.col("h") == F.col("k_h"))).select("id", "h", "text", "value")
-    stretches = arranged(both.mapInArrow(_send_stretches(length, gram, shards), message))
-    repeats = stretches.mapInArrow(_sort_shards(length, shards), message)
-    cuts = spool.table("cuts", arranged(repeats).mapInArrow(_by_document(_spans(length)), marked))
+    stretches = arranged(both.mapInArrow(_send_stretches(length, gram, shards), MESSAGE))
+    repeats = stretches.mapInArrow(_sort_shards(length, shards), MESSAGE)
+    cuts = spool.table("cuts", arranged(repeats).mapInArrow(by_document(_spans(length)), MARKED))
 
     carried = F.struct(F.lit(0).alias("_"), *[docs[c] for c in carry]).alias("carried")
     rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), carried)
