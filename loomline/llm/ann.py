@@ -68,7 +68,7 @@ def nearest_centres(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
 
 
 def lists_to_probe(sample: np.ndarray, centres: np.ndarray, k: int, aim: float, least: int) -> int:
-    """Lists that hold the share `aim` of the true neighbours of some of the sample, within it."""
+    """Lists that hold the share `aim` of the true neighbours of some vectors, among vectors that the centres weren't fitted on."""
     sample = np.unique(sample, axis=0)
     if len(sample) <= k + 1:
         return len(centres)
@@ -88,7 +88,8 @@ def adaptive_scan(queries: np.ndarray, bound: np.ndarray, own: np.ndarray, rows:
     rotated = np.ascontiguousarray((rows @ turn).T)  # by column
     out = []
     for q, query in enumerate(queries):
-        tau = bound[q] * (1 + 1e-9)
+        blur = 1e-10 * float(query @ query)  # what rotation may do to the distance of equal vectors
+        tau = bound[q] * (1 + 1e-9) + blur
         alive = np.flatnonzero(ids != own[q])
         partial, t = np.zeros(len(alive)), query @ turn
         for lo in range(0, dim, BLOCK):
@@ -105,7 +106,7 @@ def adaptive_scan(queries: np.ndarray, bound: np.ndarray, own: np.ndarray, rows:
                 break
         if len(alive) > 4 * k:  # more than enough: those clearly beyond the k-th go before the exact measure
             kth = np.partition(partial, k - 1)[k - 1]
-            alive = alive[partial <= kth * (1 + 1e-6) + 1e-12]
+            alive = alive[partial <= kth * (1 + 1e-6) + blur]
         exact = np.sqrt(((rows[alive] - query) ** 2).sum(1))
         order = np.lexsort((ids[alive], exact))
         name = ids[alive][order]
@@ -128,8 +129,10 @@ def search(vectors: DataFrame, query: Column, *, id_col: str = "vec_id", vector_
     taken = own.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("id", F.col("v").cast("array<double>")).toArrow()
     sample_ids = taken.column(0).to_numpy()
     sample = taken.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-    centres = fit_centres(sample, int(np.clip(np.sqrt(total), 1, max_lists)))
-    probes = lists_to_probe(sample, centres, k, aim, least_probes)
+    shuffled = sample[np.random.default_rng(2).permutation(len(sample))]
+    fitted, kept_out = np.split(shuffled, [max(1, 2 * len(sample) // 3)])
+    centres = fit_centres(fitted, int(np.clip(np.sqrt(total), 1, max_lists)))
+    probes = lists_to_probe(kept_out, centres, k, aim, least_probes)
     turn = rotation(dim)
 
     kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
