@@ -79,7 +79,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+_TEMPLATES = ", ".join(
+    f"({n}, {n < len(license_scan.PHRASES)}, '{label}', {len(phrase.split()) - 1}, {t}, '{a}', '{b}')".replace("True", "true").replace("False", "false")
+    for n, (phrase, label) in enumerate([*license_scan.PHRASES.items(), *license_scan.NOTICES.items()])
+    for t, (a, b) in enumerate(zip(phrase.split(), phrase.split()[1:], strict=False))
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+bytes AS (SELECT doc_id, x, len(x) // 2 AS n FROM d),
+win AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS w FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS p FROM bytes WHERE n >= 50)),
+least AS (SELECT w, min(doc_id) AS m FROM win GROUP BY w HAVING count(*) > 1),
+cover AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM win JOIN least USING (w) WHERE m < doc_id),
+runs AS (SELECT doc_id, count(*) AS n_removed, sum(CASE WHEN prev IS NULL OR prev < p - 1 THEN 1 ELSE 0 END) AS n_spans FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM cover) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * p + 1, 2), '' ORDER BY p) AS k FROM (SELECT doc_id, x, unnest(range(0, n)) AS p FROM bytes) b ANTI JOIN cover USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM bytes LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op8_license_scan": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+pair AS (SELECT doc_id, i, w[i + 1] AS x, w[i + 2] AS y FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM d WHERE len(w) > 1)),
+t(template, base, label, pairs, t, a, b) AS (VALUES {_TEMPLATES}),
+votes AS (SELECT doc_id, template, base, label, pairs, i - t AS diagonal, list(DISTINCT t) AS places, min(i) AS first FROM pair JOIN t ON x = a AND y = b GROUP BY ALL),
+step AS (SELECT *, diagonal - lag(diagonal) OVER o AS gap FROM votes WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+band AS (SELECT *, sum(CASE WHEN base OR gap IS NULL OR gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS n FROM step),
+span AS (SELECT doc_id, template, base, label, pairs, n, min(first) AS first, len(list_distinct(flatten(list(places)))) AS found FROM band GROUP BY ALL),
+fit AS (SELECT *, found / pairs AS share FROM span WHERE CASE WHEN base THEN found = pairs ELSE found / pairs >= 0.85 END),
+doc AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word, max(share) AS score,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM fit GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN doc USING (doc_id)""",
     "op4_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
