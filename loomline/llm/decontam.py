@@ -214,3 +214,30 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     hits = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     found = found.withColumn("n_hit", hits).withColumn("items", F.array_sort(F.array_distinct(F.col("matches.item_id"))))
     return found.select(F.col("id").alias(id_col), "n_words", "n_hit", "spans", "matches", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns.
+
+    Against one block of test text the rows are judged where they are read; against more,
+    the judgement of all blocks comes back by id, and rows without one stay.
+    """
+    blocks = list(_blocks(benchmark, item_col, item_text_col, window))
+    if len(blocks) > 1:
+        found = scan(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, window=window)
+        return docs.join(found.where("contaminated").select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+    test, at = blocks[0], docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            for lo, _, b, o in pieces(*text_bytes(batch.column(at)), 1 << 22):
+                words = Words(b, o)
+                p, _, n = find(test, words)
+                doc = np.searchsorted(words.off, p, "right") - 1
+                for d in np.unique(doc).tolist():
+                    hit = sum(e - s for s, e in _union(p[doc == d], p[doc == d] + n[doc == d]))
+                    keep[lo + d] = 20 * hit < words.off[d + 1] - words.off[d]
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,8 @@ spread over all shards, and equal stretches are sorted once, however many have t
 Defined results: null and empty texts have no bytes; texts shorter than `length` lose
 nothing. Matches never cross documents, repeats inside one document are kept, and so are
 rows that repeat an id (an equal id is not a smaller one). Rows equal in id and text get
-equal results. Ids are integers; other columns are not read. Stretches are told apart by
+equal results. Rows without an id keep their text and take none from others. Ids are
+integers; other columns are not read. Stretches are told apart by
 length and a 64-bit hash, equal strings by the suffix array.
 """
 
@@ -311,7 +312,7 @@ def _kept(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, c
     own = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(max(16, min(-(-total // SHARD_BYTES), 1 << 20)))
-    long_enough = own.where(F.octet_length("text") >= length)
+    long_enough = own.where((F.octet_length("text") >= length) & F.col("id").isNotNull())
     arranged = lambda df: df.repartition(shards, "key").sortWithinPartitions("key")
 
     sent = long_enough.mapInArrow(_send_anchors(length, gram, shards), MESSAGE)
