@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.plans.graph import durable
+
 # The report's words.
 OK, NOT_MODELLED, NOT_DOCUMENTED = "OK", "No esta modelado", "En QA pero no en DA"
 FIXED, PREFIX, UNRULED = "Fijo", "PreFijo", "OBSERVADO"
@@ -51,7 +53,7 @@ def arrival_order(df: DataFrame, order: list[str], name: str = "ORDEN") -> DataF
     A global number needs no global sort in one task: rows are ranged over partitions,
     counted, and numbered within each from where the one before ends.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ranged = durable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))  # ranges are sampled: both reads must see the same
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -92,18 +94,15 @@ def check_prefix(fields: DataFrame, controls: DataFrame, field: str = "CAMPO_FIS
     p = prefixes.select("P", F.col("CONTROL").alias("P_CONTROL"), F.col("PARENT_DOMAIN").alias("P_DOMAIN"), F.col("WARNING_PARENT_DOMAIN").alias("P_WARNING"))
     lengths = prefix_lengths(controls)
     name = F.upper(F.col(field))
-    keyed = fields.withColumn("_row", F.monotonically_increasing_id())
-    if not lengths:
-        return fields.withColumn("LINEAMIENTO", F.lit(PREFIX)).withColumn("CONTROL", F.lit(UNRULED)).withColumn("Observaciones", F.lit(None).cast("string"))
-    starts = F.array(*[F.when(F.length(name) >= n, F.substring(name, 1, n)) for n in lengths])
-    # which of the lengths fits is looked up on the distinct heads; the longest that exists wins
-    out = keyed.withColumn("_head", F.explode(F.array_compact(F.array_distinct(F.concat(starts, F.array(F.lit("")))))))
-    out = out.join(p, F.col("_head") == F.col("P"), "left")
-    best = out.groupBy("_row").agg(F.max_by(F.struct("P_CONTROL", "P_DOMAIN", "P_WARNING"), F.when(F.col("P").isNotNull(), F.length("P")).otherwise(-1)).alias("_best"))
-    out = keyed.join(best, "_row")
+    # each distinct name meets the prefixes of its own heads only; the longest that exists wins
+    names = fields.select(name.alias("_name")).where(F.col("_name").isNotNull()).distinct()
+    starts = [F.when(F.length("_name") >= n, F.substring("_name", 1, n)) for n in lengths] or [F.lit(None).cast("string")]
+    heads = names.withColumn("_head", F.explode(F.array_compact(F.array(*starts))))
+    best = heads.join(p, F.col("_head") == F.col("P")).groupBy("_name").agg(F.max_by(F.struct("P_CONTROL", "P_DOMAIN", "P_WARNING"), F.length("P")).alias("_best"))
+    out = fields.join(best, name == F.col("_name"), "left")
     found = F.col("_best.P_CONTROL").isNotNull()
     out = out.withColumn("LINEAMIENTO", F.lit(PREFIX)).withColumn("CONTROL", F.when(found, F.upper(F.col("_best.P_CONTROL"))).otherwise(UNRULED))
-    return out.withColumn("Observaciones", F.when(found, observation(F.col(domain), F.col("_best.P_DOMAIN"), F.col("_best.P_WARNING")))).drop("_row", "_best")
+    return out.withColumn("Observaciones", F.when(found, observation(F.col(domain), F.col("_best.P_DOMAIN"), F.col("_best.P_WARNING")))).drop("_name", "_best")
 
 
 def check_domains(fields: DataFrame, controls: DataFrame, field: str = "CAMPO_FISICO", domain: str = "PARENT_DOMAIN") -> DataFrame:
