@@ -8,14 +8,18 @@ texts that share a band are candidates, and a pair is linked if its weighted Jac
 similarity, measured on the whole texts, is at least the threshold. Classes are connected
 components of the links, named by their least id.
 
-No bucket is expanded into all its pairs: first each member is held against the bucket's
-least member; then, only in buckets whose members are still in different components,
-against slices of the members outside the first component, so many that every pair of
-members that are not yet known to belong together gets its turn.
+No bucket is expanded into all its pairs: each member is held against the bucket's first
+LEADERS members in the order of a hash, which settles buckets that small and connects the
+members of large groups of near copies. What is left are larger buckets whose members are
+still in different components, mostly texts that only share a heavy common line. For these
+documents candidates are found in another, exact way: two texts that are similar enough
+must share one of the rarest shingles that make up a fifth of each one's weight (prefix
+filtering, rarity by the sketch), so that every pair of them still gets its measurement.
 
 Defined results: equal word sequences are one class without a measurement; texts without
 words, null and empty ones are linked to texts that equal them (null counts as empty).
-Repeated rows are members of the same class. Ties need no rule: similarity is symmetric and
+Repeated rows are members of the same class; rows without an id have one only if a text with
+an id equals theirs. Ties need no rule: similarity is symmetric and
 classes are named by the least id. An empty table gives no rows. Only the named columns are
 read; ids are integers.
 """
@@ -28,20 +32,23 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.bytewords import Words, mix, pieces, text_bytes
 from loomline.llm.components import components
-from loomline.llm.spool import Spool, cut
+from loomline.llm.spool import Spool
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: A pair of similarity 0.8 shares no band of 12 by 2 samples with a chance of 5 in a million.
-BANDS, ROWS = 12, 2
+#: A pair of similarity 0.8 shares no band of 16 by 3 samples with a chance of 1 in 100,000.
+BANDS, ROWS = 16, 3
 SKETCH_BITS = 20
-SLICES = 64
-#: Of the samples, so many must agree before two texts are measured (similarity 0.8: fewer with a chance of one in a million).
-AGREE = 8
+#: Members of a bucket that all others are held against.
+LEADERS = 8
+#: Pairs that one turn over the documents left may make, for each of their shingles.
+PAIRS = 32
+#: Of the 48 samples, so many must agree before two texts are measured (at similarity 0.8 fewer do with a chance of 1 in 100,000).
+AGREE = 26
 
 _rng = np.random.default_rng(11)
 _uniform = lambda: 1 - _rng.random(1 << 16)
@@ -138,39 +145,68 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def _signer(idf: np.ndarray):
+def band_keys(sig: np.ndarray, weight: np.ndarray, threshold: float) -> np.ndarray:
+    """Keys of each document's bands, for its own class of total weight and for the next one.
+
+    Similar documents' weights differ by no more than 1 / threshold, so they share a class;
+    documents that only share a heavy common line mostly don't, and stay out of each other's
+    buckets.
+    """
+    key = np.zeros((len(sig), BANDS), np.uint64)
+    for r in range(ROWS):
+        key = mix((key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS]).ravel()).reshape(key.shape)
+    key += np.arange(BANDS, dtype=np.uint64)
+    size = np.floor(np.log(weight) / -np.log(threshold) + 1e-9).astype(np.int64)
+    both = [mix((key ^ ((size + k).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))[:, None]).ravel()).reshape(key.shape) for k in (0, 1)]
+    return np.concatenate(both, 1).view(np.int64)
+
+
+def prefixes(off: np.ndarray, h: np.ndarray, weight: np.ndarray, rarity: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, shingles) of each document's rarest shingles, up to more than 1 - threshold of its weight.
+
+    Two documents that share none of these differ in more than that share of one's weight.
+    Shingles of equal rarity go by their hash, so that all documents have one order.
+    """
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    order = np.lexsort((h, rarity, doc))
+    h, weight = h[order], weight[order]
+    before = np.cumsum(weight) - weight
+    full = np.diff(off) > 0
+    start, total = np.zeros(len(off) - 1), np.ones(len(off) - 1)
+    start[full] = before[off[:-1][full]]
+    total[full] = np.add.reduceat(weight, off[:-1][full])
+    keep = before - start[doc] <= (1 - threshold) * total[doc] * (1 + 1e-9)
+    return np.searchsorted(doc[keep], np.arange(len(off))), h[keep]
+
+
+def _signer(idf: np.ndarray, rarity: np.ndarray, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, b, o in pieces(*text_bytes(batch.column(1))):
                 words = Words(b, o)
                 off, h, tf = profiles(words, hi - lo)
-                got = samples(off, h, np.log(tf * idf[bucket(h)])) if len(h) else np.empty((0, len(_ODD)), np.uint64)
-                full = np.diff(off) > 0
+                weight = tf * idf[bucket(h)]
+                full = np.flatnonzero(np.diff(off) > 0)
+                keys, total, sketch = [None] * (hi - lo), [None] * (hi - lo), [None] * (hi - lo)
+                rare_off, rare = np.zeros(hi - lo + 1, np.int64), np.empty(0, np.uint64)
+                if len(full):
+                    rare_off, rare = prefixes(off, h, weight, rarity[bucket(h)], threshold)
+                    sig, sums = samples(off, h, np.log(weight)), np.add.reduceat(weight, off[:-1][full])
+                    few = (sig >> np.uint64(56)).astype(np.uint8)
+                    for i, k, w, s in zip(full.tolist(), band_keys(sig, sums, threshold), sums.tolist(), few, strict=True):
+                        keys[i], total[i], sketch[i] = k, w, s.tobytes()
                 raw = words.hashes().astype("<u8").tobytes() if len(words) else b""
                 cut_at = (words.off * 8).tolist()
                 digest = [blake2b(raw[s:e] if e > s else b"=" + bytes(b[x:y]), digest_size=16).digest() for s, e, x, y in zip(cut_at, cut_at[1:], o, o[1:], strict=False)]
-                sig = [None] * (hi - lo)
-                for i, row in zip(np.flatnonzero(full).tolist(), got, strict=True):
-                    sig[i] = row.astype("<u8").tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["id", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(total, pa.float64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(rare_off, pa.int32()), pa.array((rare >> np.uint64(32)).astype(np.uint32).view(np.int32)))], ["id", "digest", "keys", "weight", "sketch", "rare"])
 
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band key, representative, signature) of each band."""
-    for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, BANDS * ROWS)
-        key = np.zeros((len(sig), BANDS), np.uint64)
-        for r in range(ROWS):
-            key = mix((key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::ROWS]).ravel()).reshape(key.shape)
-        key = mix((key + np.arange(BANDS, dtype=np.uint64)).ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "rep"])
-
-
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose samples agree often enough."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, BANDS * ROWS) for c in (2, 3))
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in (2, 3))
         ok = pa.array((a == b).sum(1) >= AGREE)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
 
@@ -209,42 +245,43 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     df, n = document_frequencies(docs, text_col)
     idf = damped_idf(df, n)
-    signed = spool.table("signed", texts.mapInArrow(_signer(idf), "id bigint, digest binary, sig binary"))
-    reps = spool.table("reps", signed.groupBy("digest").agg(F.min("id").alias("rep"), F.max("sig").alias("sig")))
-    named = reps.where("sig is not null").select("rep", "sig")
-    bands = named.select("rep", "sig").mapInArrow(_bands, "key bigint, rep bigint")
-    leaders = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    bands = spool.table("bands", bands.join(leaders.select("key", "leader"), "key"))
-    links = None
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (u, v) whose texts are similar enough."""
-        a, b = (named.select(F.col("rep").alias(c), F.col("sig").alias(f"{c}_sig")) for c in "uv")
-        pairs = pairs.distinct().join(a, "u").join(b, "v").select("u", "v", "u_sig", "v_sig").mapInArrow(_agree, "u bigint, v bigint")
-        pairs = spool.table(f"pairs_{name}", pairs)
+    signed = spool.table("signed", texts.mapInArrow(_signer(idf, df, threshold), "id bigint, digest binary, keys array<bigint>, weight double, sketch binary, rare array<int>"))
+    reps = spool.table("reps", signed.groupBy("digest").agg(F.min("id").alias("rep"), *[F.first(c, ignorenulls=True).alias(c) for c in ("keys", "weight", "sketch", "rare")]))
+    bands = reps.where("keys is not null").select(F.explode("keys").alias("key"), "rep")
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    bands = spool.table("bands", bands.join(shared, "key").join(reps.select("rep", "weight", "sketch"), "rep"))
+    first = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
+    leaders = bands.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= LEADERS).select("key", F.col("rep").alias("v"), F.col("weight").alias("v_weight"), F.col("sketch").alias("v_sketch"))
+
+    def linked(met: DataFrame, name: str) -> DataFrame:
+        """The links among the met (rep, v) of a bucket: by weight, by samples, then by the whole texts."""
+        near = (F.least("weight", "v_weight") >= threshold * (1 - 1e-9) * F.greatest("weight", "v_weight")) & (F.col("rep") != F.col("v"))
+        pairs = met.where(near).select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v"), "sketch", "v_sketch")
+        pairs = spool.table(f"pairs_{name}", pairs.mapInArrow(_agree, "u bigint, v bigint").distinct())
         x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text")) for c in "uv")
         both = pairs.join(x, "u").join(y, "v").select("u", "v", "u_text", "v_text")
         return spool.table(f"links_{name}", both.mapInArrow(_measure(idf, threshold), "u bigint, v bigint, similarity double"))
 
-    links = linked(bands.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")), "0")
+    links = linked(bands.join(leaders, "key"), "0")
     roots = components(links.select("u", "v"))
-    turn, turns = 0, None
-    while turns is None or turn < turns:
-        # buckets that hold more than one component; the members outside the least one take turns as leaders
-        at = bands.join(roots, bands.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        mixed = at.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most")
-        outside = at.join(mixed, "key").where("root <> least")
-        if turns is None:
-            slices = cut(outside.groupBy("key").agg(F.ceil(F.count("*") / SLICES).cast("int").alias("slices")))
-            turns = slices.agg(F.max("slices")).first()[0] or 0
-            if not turns:
-                break
-        lead = outside.join(slices, "key").where(F.pmod(F.xxhash64("rep"), "slices") == turn).select("key", F.col("rep").alias("v"), F.col("root").alias("v_root"))
-        pairs = at.join(lead, "key").where("root <> v_root").select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v"))
-        new = linked(pairs, str(turn + 1))
-        links = links.unionByName(new)
+    # larger buckets that still hold more than one component: their members meet by rare shingles, in so many turns that
+    # each turn's pairs stay within PAIRS times these documents' shingles
+    at = bands.join(roots, bands.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed = at.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where((F.col("n") > LEADERS) & (F.col("least") != F.col("most")))
+    left = at.join(mixed.select("key"), "key").select("rep", "root").distinct()
+    left = spool.table("left", left.join(reps.select("rep", "weight", "sketch", "rare"), "rep").select("rep", "root", "weight", "sketch", F.explode("rare").alias("key")))
+    shared = left.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most")
+    left = spool.table("rare", left.join(shared.select("key", "least", "n"), "key"))
+    pairs, members = left.agg(F.sum(F.when(F.col("root") != F.col("least"), F.col("n"))), F.count("*")).first()
+    turns, more = -(-(pairs or 0) // (PAIRS * max(members, 1))), False
+    for turn in range(turns):
+        # of two members in different components at least one is outside the least: it is the one that is held against the others
+        lead = left.where((F.col("root") != F.col("least")) & (F.pmod(F.xxhash64("rep"), F.lit(turns)) == turn)).select("key", F.col("rep").alias("v"), F.col("root").alias("v_root"), F.col("weight").alias("v_weight"), F.col("sketch").alias("v_sketch"))
+        new = linked(left.drop("least", "n").join(lead, "key").where("root <> v_root"), str(turn + 1))
+        if not new.isEmpty():
+            links, more = links.unionByName(new), True
+    if more:
         roots = components(links.select("u", "v"))
-        turn += 1
     roots = roots.select(F.col("node").alias("rep"), "root")
     named_class = reps.join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("class_id"))
     return signed.select("id", "digest").join(named_class, "digest").select(F.col("id").alias(id_col), "class_id")
