@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from loomline.llm.spool import cut
 
 
+#: Edges that one task reads at least.
+EDGES = 100_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One large-star or small-star step over (u, v) with u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
@@ -27,12 +31,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     adjacency list is ever collected, only ids move.
     """
     edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    few = lambda e, n: e.coalesce(n // EDGES + 1)  # noqa: E731 - no more tasks than the edges are worth
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(edges)
     if before[0] == 0:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(rounds):
-        edges = cut(_star(_star(edges, True), False))
+        edges = cut(_star(_star(few(edges, before[0]), True), False))
         now = mark(edges)
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
