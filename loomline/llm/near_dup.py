@@ -45,8 +45,8 @@ BANDS, ROWS = 16, 3
 SKETCH_BITS = 20
 #: Members of a bucket that all others are held against.
 LEADERS = 8
-#: Pairs that one turn over the documents left may make, for each of their shingles.
-PAIRS = 32
+#: Pairs that one turn over the documents left may look at, for each of their shingles; most fail the bound in the join.
+PAIRS = 256
 #: Of the 48 samples, so many must agree before two texts are measured (at similarity 0.8 fewer do with a chance of 1 in 100,000).
 AGREE = 26
 
@@ -161,8 +161,8 @@ def band_keys(sig: np.ndarray, weight: np.ndarray, threshold: float) -> np.ndarr
     return np.concatenate(both, 1).view(np.int64)
 
 
-def prefixes(off: np.ndarray, h: np.ndarray, weight: np.ndarray, rarity: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, shingles) of each document's rarest shingles, up to more than 1 - threshold of its weight.
+def prefixes(off: np.ndarray, h: np.ndarray, weight: np.ndarray, rarity: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, shingles, weight from there on) of each document's rarest shingles, up to more than 1 - threshold of its weight.
 
     Two documents that share none of these differ in more than that share of one's weight.
     Shingles of equal rarity go by their hash, so that all documents have one order.
@@ -176,7 +176,7 @@ def prefixes(off: np.ndarray, h: np.ndarray, weight: np.ndarray, rarity: np.ndar
     start[full] = before[off[:-1][full]]
     total[full] = np.add.reduceat(weight, off[:-1][full])
     keep = before - start[doc] <= (1 - threshold) * total[doc] * (1 + 1e-9)
-    return np.searchsorted(doc[keep], np.arange(len(off))), h[keep]
+    return np.searchsorted(doc[keep], np.arange(len(off))), h[keep], (total[doc] - before + start[doc])[keep]
 
 
 def _signer(idf: np.ndarray, rarity: np.ndarray, threshold: float):
@@ -188,9 +188,9 @@ def _signer(idf: np.ndarray, rarity: np.ndarray, threshold: float):
                 weight = tf * idf[bucket(h)]
                 full = np.flatnonzero(np.diff(off) > 0)
                 keys, total, sketch = [None] * (hi - lo), [None] * (hi - lo), [None] * (hi - lo)
-                rare_off, rare = np.zeros(hi - lo + 1, np.int64), np.empty(0, np.uint64)
+                rare_off, rare, rest = np.zeros(hi - lo + 1, np.int64), np.empty(0, np.uint64), np.empty(0)
                 if len(full):
-                    rare_off, rare = prefixes(off, h, weight, rarity[bucket(h)], threshold)
+                    rare_off, rare, rest = prefixes(off, h, weight, rarity[bucket(h)], threshold)
                     sig, sums = samples(off, h, np.log(weight)), np.add.reduceat(weight, off[:-1][full])
                     few = (sig >> np.uint64(56)).astype(np.uint8)
                     for i, k, w, s in zip(full.tolist(), band_keys(sig, sums, threshold), sums.tolist(), few, strict=True):
@@ -198,7 +198,7 @@ def _signer(idf: np.ndarray, rarity: np.ndarray, threshold: float):
                 raw = words.hashes().astype("<u8").tobytes() if len(words) else b""
                 cut_at = (words.off * 8).tolist()
                 digest = [blake2b(raw[s:e] if e > s else b"=" + bytes(b[x:y]), digest_size=16).digest() for s, e, x, y in zip(cut_at, cut_at[1:], o, o[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(total, pa.float64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(rare_off, pa.int32()), pa.array((rare >> np.uint64(32)).astype(np.uint32).view(np.int32)))], ["id", "digest", "keys", "weight", "sketch", "rare"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(total, pa.float64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(rare_off, pa.int32()), pa.StructArray.from_arrays([pa.array((rare >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(rest.astype(np.float32) * np.float32(1 + 1e-6))], ["key", "rest"]))], ["id", "digest", "keys", "weight", "sketch", "rare"])
 
     return run
 
@@ -245,7 +245,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     df, n = document_frequencies(docs, text_col)
     idf = damped_idf(df, n)
-    signed = spool.table("signed", texts.mapInArrow(_signer(idf, df, threshold), "id bigint, digest binary, keys array<bigint>, weight double, sketch binary, rare array<int>"))
+    signed = spool.table("signed", texts.mapInArrow(_signer(idf, df, threshold), "id bigint, digest binary, keys array<bigint>, weight double, sketch binary, rare array<struct<key:int,rest:float>>"))
     reps = spool.table("reps", signed.groupBy("digest").agg(F.min("id").alias("rep"), *[F.first(c, ignorenulls=True).alias(c) for c in ("keys", "weight", "sketch", "rare")]))
     bands = reps.where("keys is not null").select(F.explode("keys").alias("key"), "rep")
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -269,15 +269,17 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     at = bands.join(roots, bands.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = at.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where((F.col("n") > LEADERS) & (F.col("least") != F.col("most")))
     left = at.join(mixed.select("key"), "key").select("rep", "root").distinct()
-    left = spool.table("left", left.join(reps.select("rep", "weight", "sketch", "rare"), "rep").select("rep", "root", "weight", "sketch", F.explode("rare").alias("key")))
+    left = spool.table("left", left.join(reps.select("rep", "weight", "sketch", "rare"), "rep").select("rep", "root", "weight", "sketch", F.inline("rare")))
     shared = left.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least <> most")
     left = spool.table("rare", left.join(shared.select("key", "least", "n"), "key"))
     pairs, members = left.agg(F.sum(F.when(F.col("root") != F.col("least"), F.col("n"))), F.count("*")).first()
     turns, more = -(-(pairs or 0) // (PAIRS * max(members, 1))), False
     for turn in range(turns):
         # of two members in different components at least one is outside the least: it is the one that is held against the others
-        lead = left.where((F.col("root") != F.col("least")) & (F.pmod(F.xxhash64("rep"), F.lit(turns)) == turn)).select("key", F.col("rep").alias("v"), F.col("root").alias("v_root"), F.col("weight").alias("v_weight"), F.col("sketch").alias("v_sketch"))
-        new = linked(left.drop("least", "n").join(lead, "key").where("root <> v_root"), str(turn + 1))
+        lead = left.where((F.col("root") != F.col("least")) & (F.pmod(F.xxhash64("rep"), F.lit(turns)) == turn)).select("key", F.col("rep").alias("v"), F.col("root").alias("v_root"), F.col("weight").alias("v_weight"), F.col("sketch").alias("v_sketch"), F.col("rest").alias("v_rest"))
+        # what two documents share can't weigh more than either has from their first common shingle on
+        enough = F.least("rest", "v_rest") >= threshold / (1 + threshold) * (F.col("weight") + F.col("v_weight"))
+        new = linked(left.drop("least", "n").join(lead, "key").where((F.col("root") != F.col("v_root")) & enough), str(turn + 1))
         if not new.isEmpty():
             links, more = links.unionByName(new), True
     if more:
