@@ -188,6 +188,20 @@ def test_passages(spark):
     assert passage_chain.common_length([1, 2, 3, 4], [2, 9, 4, 1]) == 2
 
 
+def test_passages_with_every_document(spark):
+    """Halves of a passage in other documents don't hide the document that has the whole; equal texts and hot passages name all of theirs."""
+    r = np.random.default_rng(8)
+    p, hot = words(60, r), words(60, r)
+    docs = [(i, words(40, r) + part + words(40, r)) for i, part in ((1, p[:30]), (2, p[30:]), (3, p), (7, p[:30]), (8, p[30:]), (9, p))]
+    docs += [(20 + i, words(30, r) + hot + words(30, r)) for i in range(25)]
+    docs += [(60, docs[6][1]), (10, docs[6][1])]
+    by = {x.doc_id: x for x in passage_chain.passages(frame(spark, [(i, " ".join(w)) for i, w in docs])).collect()}
+    assert [(q.start, q.end, q.other, q.other_start) for q in by[9].passages] == [(40, 100, 3, 40)] and by[9].n_repeated == 60
+    assert not any(by[i].n_passages for i in (1, 2, 3, 7, 8, 10))
+    assert all(sorted(q.other for q in by[20 + i].passages) == [10, *range(20, 20 + i)] for i in range(25))
+    assert sorted(q.other for q in by[60].passages) == [10, *range(20, 45)] and by[60].n_repeated == 120
+
+
 # -- neighbours --------------------------------------------------------------------------------
 
 
