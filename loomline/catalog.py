@@ -337,12 +337,12 @@ UNION SELECT t.filename, t.destination, e.source, e.target, t.level - 1 FROM t J
 
 @query(f"{_FORWARD} SELECT filename, origin, source, target, level FROM t")
 def trace_forward_table(spark, sf_dir):
-    return graph.forward_tables(durable_edges(spark, sf_dir))
+    return graph.forward_tables(durable_edges(spark, sf_dir), again=True)
 
 
 @query(f"{_BACKWARD} SELECT filename, destination, source, target, level FROM t")
 def trace_backward_table(spark, sf_dir):
-    return graph.backward_tables(durable_edges(spark, sf_dir))
+    return graph.backward_tables(durable_edges(spark, sf_dir), again=True)
 
 
 def durable_edges(spark, sf_dir):
@@ -372,13 +372,13 @@ def _columns(spark, sf_dir):
 @query(f"{_FORWARD} SELECT filename, origin, origin || '_k' AS origin_field, source, CASE WHEN source = '' THEN '' ELSE source || '_k' END AS source_field, target, target || '_k' AS target_field, CASE WHEN source = '' THEN '' ELSE 'select' END AS clause, CASE WHEN source = '' THEN '' ELSE source || '.k' END AS expression_sql, level FROM t")
 def trace_forward_column(spark, sf_dir):
     c = _columns(spark, sf_dir)
-    return graph.forward_columns(c, graph.root_columns(c, c.select("filename", "source", "target")))
+    return graph.forward_columns(c, graph.root_columns(c, c.select("filename", "source", "target")), again=True)
 
 
 @query(f"{_BACKWARD} SELECT filename, destination, destination || '_k' AS destination_field, source, source || '_k' AS source_field, target, CASE WHEN target = '' THEN '' ELSE target || '_k' END AS target_field, CASE WHEN target = '' THEN '' ELSE 'select' END AS clause, CASE WHEN target = '' THEN '' ELSE source || '.k' END AS expression_sql, level FROM t")
 def trace_backward_column(spark, sf_dir):
     c = _columns(spark, sf_dir)
-    return graph.backward_columns(c, graph.leaf_columns(c))
+    return graph.backward_columns(c, graph.leaf_columns(c), again=True)
 
 
 @query(

@@ -2,7 +2,9 @@
 
 A graph is a DataFrame of edges. Traces go level by level; each level is one join of the
 frontier with the edges on (file, node), so a lineage never leaves its file. Rows carry no
-paths: what has been reached already isn't entered again, which ends cycles.
+paths. With `again`, a node is told and followed on every level it is reached on, and only the
+steps within a cycle end: each of its nodes is followed once for each level on which the cycle
+is entered. Without, a node that has been reached isn't followed again.
 """
 
 from __future__ import annotations
@@ -69,46 +71,63 @@ def leaf_columns(columns: DataFrame) -> DataFrame:
 # -- traces ------------------------------------------------------------------------------------
 
 
-def _levels(start: DataFrame, step: Callable[[DataFrame], DataFrame], key: list[str], depth: int) -> DataFrame:
-    """All frontiers from `start` on; a frontier keeps the nodes that no earlier one had."""
-    frontier = durable(start)
-    seen, out = frontier.select(*key).distinct(), frontier
+def _marked(edges: DataFrame) -> DataFrame:
+    """edges (filename, s, t, ...) with `turns`: whether the step stays on a cycle."""
+    end = lambda c: F.struct("filename", F.col(c).alias("node"))
+    round_ = mutual(edges.select(end("s").alias("source"), end("t").alias("target")))
+    on = round_.select(F.col("source.filename").alias("filename"), F.col("source.node").alias("s"), F.col("target.node").alias("t"), F.lit(True).alias("_on"))
+    return durable(edges.join(on, ["filename", "s", "t"], "left").withColumn("turns", F.coalesce("_on", F.col("s") == F.col("t"))).drop("_on"))
+
+
+def _turning(edges: DataFrame, again: bool) -> DataFrame:
+    return _marked(edges) if again else edges.withColumn("turns", F.lit(False))
+
+
+def _levels(start: DataFrame, step: Callable[[DataFrame], DataFrame], key: list[str], depth: int, again: bool = False) -> DataFrame:
+    """All frontiers from `start` on. A frontier keeps the nodes that no earlier one had; with `again`, those that no earlier one had since the cycle they are on was entered.
+
+    step carries `entered`, and gives `turns` with each step.
+    """
+    columns, since = start.columns, [*key, "entered"] if again else key
+    frontier = durable(start.withColumn("entered", F.lit(0)))
+    seen, out = frontier.select(*since).distinct(), frontier.select(*columns)
     for level in range(1, depth + 1):
-        found = durable(step(frontier).withColumn("level", F.lit(level)))
+        found = step(frontier).withColumn("level", F.lit(level)).withColumn("entered", F.when(F.col("turns"), F.col("entered")).otherwise(F.lit(level)))
+        found = durable(found.select(*columns, "entered").distinct())
         if found.isEmpty():
-            return out
-        out = out.unionByName(found)
-        fresh = found.join(seen, key, "left_anti")
-        seen = durable(seen.unionByName(fresh.select(*key).distinct()))
+            return out.distinct() if again else out
+        out = out.unionByName(found.select(*columns))
+        fresh = found.join(seen, since, "left_anti")
+        seen = durable(seen.unionByName(fresh.select(*since).distinct()))
         frontier = fresh
     raise RuntimeError(f"the trace goes deeper than {depth} levels")
 
 
-def forward_tables(edges: DataFrame, start: DataFrame | None = None, depth: int = MAX_DEPTH) -> DataFrame:
+def forward_tables(edges: DataFrame, start: DataFrame | None = None, depth: int = MAX_DEPTH, again: bool = False) -> DataFrame:
     """(filename, origin, source, target, level): level 0 is the origin with source ''.
 
-    A step into a table that the trace has reached before is told, but not followed again.
+    A step into a table that the trace has reached before is told, and followed again only with `again`.
     """
     first = (roots(edges) if start is None else start).select("filename", F.col("node").alias("origin"), F.lit("").alias("source"), F.col("node").alias("target"), F.lit(0).alias("level"))
-    e = edges.select("filename", F.col("source").alias("s"), F.col("target").alias("t"))
+    e = _turning(edges.select("filename", F.col("source").alias("s"), F.col("target").alias("t")), again)
 
     def step(frontier: DataFrame) -> DataFrame:
-        f = frontier.select("filename", "origin", F.col("target").alias("s")).distinct()
-        return f.join(e, ["filename", "s"]).select("filename", "origin", F.col("s").alias("source"), F.col("t").alias("target")).distinct()
+        f = frontier.select("filename", "origin", F.col("target").alias("s"), "entered").distinct()
+        return f.join(e, ["filename", "s"]).select("filename", "origin", F.col("s").alias("source"), F.col("t").alias("target"), "entered", "turns")
 
-    return _levels(first, step, ["filename", "origin", "target"], depth)
+    return _levels(first, step, ["filename", "origin", "target"], depth, again)
 
 
-def backward_tables(edges: DataFrame, start: DataFrame | None = None, depth: int = MAX_DEPTH) -> DataFrame:
+def backward_tables(edges: DataFrame, start: DataFrame | None = None, depth: int = MAX_DEPTH, again: bool = False) -> DataFrame:
     """(filename, destination, source, target, level): levels go down from 0, the destination itself."""
     first = (leaves(edges) if start is None else start).select("filename", F.col("node").alias("destination"), F.col("node").alias("source"), F.lit("").alias("target"), F.lit(0).alias("level"))
-    e = edges.select("filename", F.col("source").alias("s"), F.col("target").alias("t"))
+    e = _turning(edges.select("filename", F.col("source").alias("s"), F.col("target").alias("t")), again)
 
     def step(frontier: DataFrame) -> DataFrame:
-        f = frontier.select("filename", "destination", F.col("source").alias("t")).distinct()
-        return f.join(e, ["filename", "t"]).select("filename", "destination", F.col("s").alias("source"), F.col("t").alias("target")).distinct()
+        f = frontier.select("filename", "destination", F.col("source").alias("t"), "entered").distinct()
+        return f.join(e, ["filename", "t"]).select("filename", "destination", F.col("s").alias("source"), F.col("t").alias("target"), "entered", "turns")
 
-    return _levels(first, step, ["filename", "destination", "source"], depth).withColumn("level", -F.col("level"))
+    return _levels(first, step, ["filename", "destination", "source"], depth, again).withColumn("level", -F.col("level"))
 
 
 def _as_nodes(columns: DataFrame) -> DataFrame:
@@ -125,30 +144,30 @@ def _flat(trace: DataFrame, end: str) -> DataFrame:
     return trace.select("filename", *cells, "clause", "expression_sql", "level")
 
 
-def forward_columns(columns: DataFrame, start: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def forward_columns(columns: DataFrame, start: DataFrame, depth: int = MAX_DEPTH, again: bool = False) -> DataFrame:
     """As forward_tables, of (table, field), with clause and expression of each step. start: (filename, node, field)."""
-    e = _as_nodes(columns).select("filename", F.col("source").alias("s"), F.col("target").alias("t"), "clause", "expression_sql")
+    e = _turning(_as_nodes(columns).select("filename", F.col("source").alias("s"), F.col("target").alias("t"), "clause", "expression_sql"), again)
     none = F.struct(F.lit("").alias("table"), F.lit("").alias("field"))
     first = _start_nodes(start).select("filename", F.col("node").alias("origin"), none.alias("source"), F.col("node").alias("target"), F.lit("").alias("clause"), F.lit("").alias("expression_sql"), F.lit(0).alias("level"))
 
     def step(frontier: DataFrame) -> DataFrame:
-        f = frontier.select("filename", "origin", F.col("target").alias("s")).distinct()
-        return f.join(e, ["filename", "s"]).select("filename", "origin", F.col("s").alias("source"), F.col("t").alias("target"), "clause", "expression_sql").distinct()
+        f = frontier.select("filename", "origin", F.col("target").alias("s"), "entered").distinct()
+        return f.join(e, ["filename", "s"]).select("filename", "origin", F.col("s").alias("source"), F.col("t").alias("target"), "clause", "expression_sql", "entered", "turns")
 
-    return _flat(_levels(first, step, ["filename", "origin", "target"], depth), "origin")
+    return _flat(_levels(first, step, ["filename", "origin", "target"], depth, again), "origin")
 
 
-def backward_columns(columns: DataFrame, start: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def backward_columns(columns: DataFrame, start: DataFrame, depth: int = MAX_DEPTH, again: bool = False) -> DataFrame:
     """As backward_tables, of (table, field), with clause and expression of each step."""
-    e = _as_nodes(columns).select("filename", F.col("source").alias("s"), F.col("target").alias("t"), "clause", "expression_sql")
+    e = _turning(_as_nodes(columns).select("filename", F.col("source").alias("s"), F.col("target").alias("t"), "clause", "expression_sql"), again)
     none = F.struct(F.lit("").alias("table"), F.lit("").alias("field"))
     first = _start_nodes(start).select("filename", F.col("node").alias("destination"), F.col("node").alias("source"), none.alias("target"), F.lit("").alias("clause"), F.lit("").alias("expression_sql"), F.lit(0).alias("level"))
 
     def step(frontier: DataFrame) -> DataFrame:
-        f = frontier.select("filename", "destination", F.col("source").alias("t")).distinct()
-        return f.join(e, ["filename", "t"]).select("filename", "destination", F.col("s").alias("source"), F.col("t").alias("target"), "clause", "expression_sql").distinct()
+        f = frontier.select("filename", "destination", F.col("source").alias("t"), "entered").distinct()
+        return f.join(e, ["filename", "t"]).select("filename", "destination", F.col("s").alias("source"), F.col("t").alias("target"), "clause", "expression_sql", "entered", "turns")
 
-    out = _levels(first, step, ["filename", "destination", "source"], depth).withColumn("level", -F.col("level"))
+    out = _levels(first, step, ["filename", "destination", "source"], depth, again).withColumn("level", -F.col("level"))
     return _flat(out, "destination")
 
 
@@ -156,26 +175,20 @@ def backward_columns(columns: DataFrame, start: DataFrame, depth: int = MAX_DEPT
 
 
 def _back_within(ends: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
-    """(filename, origin, destination, node, back): how many steps before the destination a node stands; farthest counts.
+    """(filename, origin, destination, node, back): how many steps before the destination a node stands, on every way; farthest counts.
 
     steps: distinct (filename, origin, source, target) of the forward trace.
     """
-    frontier = durable(ends.select("filename", "origin", "destination", F.col("destination").alias("node"), F.lit(0).alias("back")))
-    out, seen = frontier, frontier.select("filename", "origin", "destination", "node")
-    s = steps.select("filename", "origin", F.col("source").alias("before"), F.col("target").alias("node"))
-    for level in range(1, depth + 1):
-        found = frontier.select("filename", "origin", "destination", "node").distinct().join(s, ["filename", "origin", "node"])
-        found = durable(found.select("filename", "origin", "destination", F.col("before").alias("node")).distinct().withColumn("back", F.lit(level)))
-        if found.isEmpty():
-            return out
-        fresh = durable(found.join(seen, ["filename", "origin", "destination", "node"], "left_anti"))
-        # a node met again on a longer way is told once more, unless the way runs in a circle
-        out = out.unionByName(fresh)
-        seen = durable(seen.unionByName(fresh.drop("back")))
-        frontier = fresh
-        if fresh.isEmpty():
-            return out
-    raise RuntimeError(f"the lineage goes deeper than {depth} levels")
+    start = ends.select("filename", "origin", "destination", F.col("destination").alias("node"), F.lit(0).alias("level"))
+    turns = _marked(steps.select("filename", F.col("source").alias("s"), F.col("target").alias("t")).distinct())
+    e = durable(steps.select("filename", "origin", F.col("source").alias("s"), F.col("target").alias("t")).join(turns, ["filename", "s", "t"]))
+
+    def step(frontier: DataFrame) -> DataFrame:
+        f = frontier.select("filename", "origin", "destination", F.col("node").alias("t"), "entered").distinct()
+        return f.join(e, ["filename", "origin", "t"]).select("filename", "origin", "destination", F.col("s").alias("node"), "entered", "turns")
+
+    # a node met again on a longer way is told once more, unless the way runs in a circle
+    return _levels(start, step, ["filename", "origin", "destination", "node"], depth, True).withColumnRenamed("level", "back")
 
 
 def _steps(back: DataFrame, node: list[str]) -> DataFrame:

@@ -105,6 +105,21 @@ def test_cycles_end(spark):
     G.backward_tables(e).count()
 
 
+def test_levels_with_a_shortcut(spark):
+    e = edges(spark, ("f", "A", "B"), ("f", "B", "C"), ("f", "A", "C"), ("f", "C", "D"))
+    assert rows(G.table_lineage(e), "step", "level") == [("A", 0), ("B", 1), ("C", 2), ("D", 3)]
+    assert rows(G.forward_tables(e, again=True), "level", "source", "target") == [(0, "", "A"), (1, "A", "B"), (1, "A", "C"), (2, "B", "C"), (2, "C", "D"), (3, "C", "D")]
+    assert rows(G.backward_tables(e, again=True), "level", "source", "target") == [(-3, "A", "B"), (-2, "A", "C"), (-2, "B", "C"), (-1, "C", "D"), (0, "D", "")]
+    c = e.selectExpr("filename", "source", "source || '_k' source_field", "target", "target || '_k' target_field", "'select' clause", "'x' expression_sql")
+    assert rows(G.column_lineage(c, e), "step", "level") == [("A", 0), ("B", 1), ("C", 2), ("D", 3)]
+    assert (3, "C", "D") in rows(G.forward_columns(c, G.root_columns(c, e), again=True), "level", "source", "target")
+    # a cycle that is entered on two levels is left on two levels, and ends
+    e = edges(spark, ("f", "A", "B"), ("f", "A", "P"), ("f", "B", "P"), ("f", "P", "Q"), ("f", "Q", "P"), ("f", "Q", "D"), ("f", "D", "D"), ("f", "D", "E"))
+    got = rows(G.forward_tables(e, again=True), "level", "source", "target")
+    assert (3, "Q", "D") in got and (4, "Q", "D") in got and (5, "D", "E") in got and max(r[0] for r in got) == 5
+    assert dict(rows(G.table_lineage(e), "step", "level"))["A"] == 0
+
+
 def test_columns(spark):
     c = spark.createDataFrame([("f", "A", "x", "B", "y", "select", "x"), ("f", "B", "y", "C", "z", "select", "y+1")], "filename string, source string, source_field string, target string, target_field string, clause string, expression_sql string")
     t = c.select("filename", "source", "target").distinct()
