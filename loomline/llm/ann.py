@@ -82,6 +82,12 @@ def lists_to_probe(sample: np.ndarray, centres: np.ndarray, k: int, aim: float,
     return int(min(len(centres), max(least, needed[int(np.ceil(aim * len(needed))) - 1] + 1)))
 
 
+def least_by_id(ids: np.ndarray, distances: np.ndarray) -> np.ndarray:
+    """Places of the nearest row of each id, by id."""
+    order = np.lexsort((distances, ids))
+    return order[np.r_[True, ids[order][1:] != ids[order][:-1]]] if len(ids) else order
+
+
 def adaptive_scan(queries: np.ndarray, bound: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int, slack: float = 2.1) -> list[tuple[np.ndarray, np.ndarray]]:
     """The k nearest rows of each query that aren't its own id: (ids, distances). bound: a squared distance each query is sure of."""
     dim = rows.shape[1]
@@ -105,8 +111,9 @@ def adaptive_scan(queries: np.ndarray, bound: np.ndarray, own: np.ndarray, rows:
             if not len(alive):
                 break
         if len(alive) > 4 * k:  # more than enough: those clearly beyond the k-th go before the exact measure
-            kth = np.partition(partial, k - 1)[k - 1]
-            alive = alive[partial <= kth * (1 + 1e-6) + blur]
+            once = partial[least_by_id(ids[alive], partial)]
+            if len(once) > k:
+                alive = alive[partial <= np.partition(once, k - 1)[k - 1] * (1 + 1e-6) + blur]
         exact = np.sqrt(((rows[alive] - query) ** 2).sum(1))
         order = np.lexsort((ids[alive], exact))
         name = ids[alive][order]
@@ -128,6 +135,8 @@ def search(vectors: DataFrame, query: Column, *, id_col: str = "vec_id", vector_
     own = own.where(F.size("v") == dim)
     taken = own.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("id", F.col("v").cast("array<double>")).toArrow()
     sample_ids = taken.column(0).to_numpy()
+    by_id = np.argsort(sample_ids, kind="stable")
+    names, first_of = np.unique(sample_ids[by_id], return_index=True)
     sample = taken.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     shuffled = sample[np.random.default_rng(2).permutation(len(sample))]
     fitted, kept_out = np.split(shuffled, [max(1, 2 * len(sample) // 3)])
@@ -149,11 +158,12 @@ def search(vectors: DataFrame, query: Column, *, id_col: str = "vec_id", vector_
                 if len(asks):
                     for i, p in zip(asks.tolist(), nearest_centres(x[asks], centres, probes).tolist(), strict=True):
                         probed[i] = p
-                        d = np.where(sample_ids != ids[i], ((sample - x[i]) ** 2).sum(1), np.inf)
-                        best = np.lexsort((sample_ids, d))[:k]
+                        d = np.minimum.reduceat(((sample - x[i]) ** 2).sum(1)[by_id], first_of)  # of each id's nearest row
+                        d[names == ids[i]] = np.inf
+                        best = np.lexsort((names, d))[:k]
                         best = best[np.isfinite(d[best])]
-                        near[i] = [{"vec_id": int(sample_ids[j]), "score": float(np.sqrt(d[j]))} for j in best]
-                        if len(np.unique(sample_ids[best])) == k:
+                        near[i] = [{"vec_id": int(names[j]), "score": float(np.sqrt(d[j]))} for j in best]
+                        if len(best) == k:
                             bound[i] = d[best[-1]]
                 raw = pa.array([r.tobytes() for r in x], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), raw, pa.array(home, pa.int32()), pa.array(probed, pa.list_(pa.int32())), pa.array(bound), pa.array(near, kind)], ["id", "raw", "list", "probed", "bound", "near"])

@@ -230,6 +230,28 @@ def test_neighbours(spark):
     assert ann.search(df.where("vec_id < 3"), F.lit(True)).count() == 6
 
 
+@pytest.mark.parametrize("times", [2, 10])
+def test_neighbours_with_repeated_rows(spark, times):
+    r = np.random.default_rng(9)
+    x = r.standard_normal((600, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x) for _ in range(times)], "vec_id long, embedding array<float>")
+    got = {}
+    for q in ann.search(df, F.col("vec_id") % 20 == 0, sample_rows=200 * times, least_probes=100).collect():
+        got.setdefault(q.query_id, []).append((q.rank, q.vec_id))
+    y = x.astype(np.float64)
+    hit = 0
+    for q in range(0, 600, 20):
+        d = ((y - y[q]) ** 2).sum(1)
+        true = [i for i in np.argsort(d, kind="stable") if i != q][:10]
+        assert sorted(k for k, _ in got[q]) == list(range(1, 11))
+        hit += len(set(true) & {i for _, i in got[q]})
+    assert hit / 300 >= 0.99
+    # within one list: more rows than 4 k, no bound
+    ids = np.repeat(np.arange(600), times)
+    (found, _), = ann.adaptive_scan(y[:1], np.array([np.inf]), np.array([0]), np.repeat(y, times, 0), ids, ann.rotation(16), 10)
+    assert found.tolist() == [i for i in np.argsort(((y - y[0]) ** 2).sum(1), kind="stable") if i][:10]
+
+
 # -- transcripts -------------------------------------------------------------------------------
 
 TALK = "conv_id long, turn long, role string, text string, block string"
