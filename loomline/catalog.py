@@ -420,7 +420,27 @@ SELECT n AS name, m AS suggestion, r AS ratio, CAST(row_number() OVER (PARTITION
 )
 def close_matches(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return learn.close_by_edits(part.where("p_partkey % 2 = 0"), "p_name", part.where("p_partkey % 2 = 1"), "p_name")
+    return learn.close_by_edits(part.where("p_partkey % 2 = 0"), "p_name", part.where("p_partkey % 2 = 1"), "p_name", alike=2)
+
+
+@query(
+    """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+SELECT a, b, round(s, 9) AS similarity, CASE WHEN s > 0.95 THEN 'Posible Duplicado' ELSE 'Similar' END AS kind, CASE WHEN s > 0.95 THEN 'Alta' ELSE 'Media' END AS confidence, round(100 * s, 1) AS percent FROM p WHERE s > 0.3"""
+)
+def similar_pairs_all(spark, sf_dir):
+    """Pairs of all rows, whatever their label."""
+    return learn.similar_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT p_name AS n FROM part),
+p AS (SELECT a.n, b.n AS m, round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)), 6) AS r FROM a JOIN a b ON a.n <> b.n)
+SELECT n AS name, m AS suggestion, r AS ratio, CAST(row_number() OVER (PARTITION BY n ORDER BY r DESC, m) AS INTEGER) AS place FROM p WHERE r >= 0.7 QUALIFY row_number() OVER (PARTITION BY n ORDER BY r DESC, m) <= 3"""
+)
+def close_matches_all(spark, sf_dir):
+    """Every name against every other, however it begins."""
+    part = table(spark, sf_dir, "part")
+    return learn.close_by_edits(part, "p_name", part, "p_name")
 
 
 @query()

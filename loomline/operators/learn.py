@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, RegexTokenizer, SQLTransformer, StringIndexer
@@ -16,6 +18,8 @@ DUPLICATE, SIMILAR = "Posible Duplicado", "Similar"
 PROBABILITY = 0.95
 #: Rows that a forest needs at least.
 LEAST_ROWS = 10
+#: Rows that are measured against as many others in one task.
+BLOCK_ROWS = 2048
 
 
 def cosine(a, b):
@@ -27,15 +31,43 @@ def cosine(a, b):
 def similar_pairs(names: DataFrame, id_col: str, vector_col: str, threshold: float = 0.85, block_col: str | None = None) -> DataFrame:
     """(a, b, similarity) of pairs a < b above the threshold, and what they are called. block_col: only pairs within a block.
 
-    Without a block every pair is measured, as the definition asks for: meant for a model's
-    column names, some thousands. Larger inputs pass a block.
+    Without a block every pair is measured, as the definition asks for, in blocks of rows
+    against blocks of rows. Vectors that are null, zero or hold nulls are in no pair.
     """
-    a = names.select(F.col(id_col).alias("a"), F.col(vector_col).alias("va"), *([F.col(block_col).alias("ba")] if block_col else []))
-    b = names.select(F.col(id_col).alias("b"), F.col(vector_col).alias("vb"), *([F.col(block_col).alias("bb")] if block_col else []))
-    on = F.col("a") < F.col("b")
-    if block_col:
-        on = on & (F.col("ba") == F.col("bb"))
-    out = a.join(b, on).withColumn("similarity", cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") > threshold)
+    if not block_col:
+        return _named(_all_pairs(names, id_col, vector_col, threshold))
+    a = names.select(F.col(id_col).alias("a"), F.col(vector_col).alias("va"), F.col(block_col).alias("ba"))
+    b = names.select(F.col(id_col).alias("b"), F.col(vector_col).alias("vb"), F.col(block_col).alias("bb"))
+    on = (F.col("a") < F.col("b")) & (F.col("ba") == F.col("bb"))
+    return _named(a.join(b, on).withColumn("similarity", cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") > threshold))
+
+
+def _all_pairs(names: DataFrame, id_col: str, vector_col: str, threshold: float) -> DataFrame:
+    v = F.col("v")
+    own = names.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull()) & F.exists(v, lambda x: x != 0))
+    parts = max(1, -(-own.count() // BLOCK_ROWS))
+    own = own.withColumns({"k": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), "dim": F.size("v")})
+    sent = own.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("dim", F.least("k", "to").alias("i"), F.greatest("k", "to").alias("j"), "k", "id", "v")
+    kind = names.schema[id_col].dataType.simpleString()
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        dim, i, j = (x.as_py() for x in key)
+        ids, k = rows.column("id").to_numpy(), rows.column("k").to_numpy()
+        x = rows.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        x = x / np.sqrt((x * x).sum(1))[:, None]
+        left, right = np.flatnonzero(k == i), np.flatnonzero(k == j)
+        a, b = np.nonzero(x[left] @ x[right].T > threshold - 1e-9)
+        a, b = left[a], right[b]
+        measured = (x[a] * x[b]).sum(1)
+        turned = (ids[a] > ids[b]) & (i != j)  # within a block each pair is met both ways
+        a, b = np.where(turned, b, a), np.where(turned, a, b)
+        keep = (measured > threshold) & (ids[a] < ids[b])
+        return pa.table({"a": rows.column("id").take(pa.array(a[keep])), "b": rows.column("id").take(pa.array(b[keep])), "similarity": measured[keep]})
+
+    return sent.groupBy("dim", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}, similarity double")
+
+
+def _named(out: DataFrame) -> DataFrame:
     twin = F.col("similarity") > PROBABILITY
     return out.select("a", "b", "similarity", F.when(twin, DUPLICATE).otherwise(SIMILAR).alias("kind"), F.when(twin, "Alta").otherwise("Media").alias("confidence"), F.round(100 * F.col("similarity"), 1).alias("percent"))
 
@@ -64,12 +96,16 @@ def close_names(names: DataFrame, column: str, known: DataFrame, known_column: s
     return names.select(column).distinct().mapInPandas(run, "name string, suggestion string, ratio double, place int, confidence string")
 
 
-def close_by_edits(names: DataFrame, column: str, known: DataFrame, known_column: str, cutoff: float = 0.7, most: int = 3) -> DataFrame:
-    """The same by edit distance, with built-in functions, between names that begin alike."""
-    a = names.select(F.col(column).alias("name")).distinct().withColumn("k", F.substring("name", 1, 2))
-    b = known.select(F.col(known_column).alias("suggestion")).distinct().withColumn("k", F.substring("suggestion", 1, 2))
+def close_by_edits(names: DataFrame, column: str, known: DataFrame, known_column: str, cutoff: float = 0.7, most: int = 3, alike: int = 0) -> DataFrame:
+    """The same by edit distance, with built-in functions, between all names whose lengths allow the ratio; only those whose first `alike` characters are equal, if asked for."""
+    a = names.select(F.col(column).alias("name")).distinct()
+    b = known.select(F.col(known_column).alias("suggestion")).distinct()
+    size = [F.length("name"), F.length("suggestion")]
+    on = F.least(*size) >= (cutoff - 1e-6) * F.greatest(*size)
+    if alike:
+        on = on & (F.substring("name", 1, alike) == F.substring("suggestion", 1, alike))
     ratio = 1 - F.levenshtein("name", "suggestion") / F.greatest(F.length("name"), F.length("suggestion"))
-    out = a.join(b, "k").where("name <> suggestion").withColumn("ratio", F.round(ratio, 6)).where(F.col("ratio") >= cutoff)
+    out = a.join(b, on).where("name <> suggestion").withColumn("ratio", F.round(ratio, 6)).where(F.col("ratio") >= cutoff)
     w = Window.partitionBy("name").orderBy(F.desc("ratio"), "suggestion")
     return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("name", "suggestion", "ratio", "place")
 

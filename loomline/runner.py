@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomline.functions.columns import any_filled, clean_all, missing_columns, reorder, strip_suffix, upper_trim
 from loomline.operators import lineage as L
 from loomline.operators import reconcile as Q
-from loomline.operators.learn import error_patterns, observed, suggest_domains, train_domains
+from loomline.operators.learn import error_patterns, name_vectors, observed, similar_pairs, suggest_domains, train_domains
 from loomline.sinks import reports
 from loomline.sources.scripts import find_folder, read_scripts
 from loomline.sources.xlsx import read_workbooks
@@ -154,6 +154,8 @@ def reconcile(spark: SparkSession, p: Parameters) -> dict[str, DataFrame]:
     if p.hints:
         trained, _ = train_domains(model, ["CAMPO_FISICO", "TABLA_FISICA"], "PARENT_DOMAIN")
         hints["PD_Sugeridos"] = suggest_domains(observed(checks), trained, ["CAMPO_FISICO", "TABLA_FISICA"], "PARENT_DOMAIN").withColumn("alternatives", F.array_join("alternatives", ", "))
+        fields = name_vectors(model.select("CAMPO_FISICO").where("CAMPO_FISICO <> ''").distinct(), "CAMPO_FISICO")
+        hints["Similares"] = similar_pairs(fields, "CAMPO_FISICO", "vector", p.threshold).orderBy("a", "b")
         hints["Errores"] = error_patterns(report.where(F.col("QA_Campo") != Q.OK), "CAMPO", "QA_Campo", "ORDEN")
     if p.dry_run:
         reports.preview(report).show(truncate=False)

@@ -123,3 +123,33 @@ def test_arrival_order_has_no_gaps(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
     got = [r.ORDEN for r in Q.arrival_order(df, ["k"]).orderBy("k").collect()]
     assert got == list(range(1, 1001))
+
+
+def test_hints_of_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    names = spark.createDataFrame([("CODIGO",), ("SALDO",), ("XODIGO",)], "n string")
+    known = spark.createDataFrame([("CODIGO",), ("ASLDO",), ("FECHA",)], "k string")
+    got = sorted((r.name, r.suggestion, r.place) for r in learn.close_by_edits(names, "n", known, "k", cutoff=0.6).collect())
+    assert got == [("SALDO", "ASLDO", 1), ("XODIGO", "CODIGO", 1)]
+    monkeypatch.setattr(learn, "BLOCK_ROWS", 7)
+    x = np.random.default_rng(1).standard_normal((40, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, None), (51, [0.0] * 4), (52, [1.0, None, 1.0, 1.0])]
+    got = {(r.a, r.b): r.similarity for r in learn.similar_pairs(spark.createDataFrame(rows, "i int, v array<double>"), "i", "v", 0.5).collect()}
+    y = x / np.sqrt((x * x).sum(1))[:, None]
+    want = {(i, j): float(y[i] @ y[j]) for i in range(40) for j in range(i + 1, 40) if y[i] @ y[j] > 0.5}
+    assert got == pytest.approx(want)
+
+
+def test_run_names_similar_fields(spark, tmp_path):
+    folder = tmp_path / "base" / "Run1"
+    folder.mkdir(parents=True)
+    control = str(tmp_path / "control.xlsx")
+    cell = lambda layer, name, prefix, sheet, check="SI": (layer, check, name, prefix, sheet)
+    parameters = [cell("QA", "TABLA_FISICA", "QA_", "m"), cell("QA", "CAMPO_FISICO", "QA_", "m"), cell("DDV", "TABLA DDV", "DA_", "d"), cell("DDV", "CAMPO DDV", "DA_", "d")]
+    write_workbook(control, [Sheet("parametros", ["CAPA", "VALIDAR", "NOM_CAMPO_ARCHIVO", "NOM_PREFIJO_ARCHIVO", "NOM_HOJA"], parameters), Sheet("controles", ["CONTROL", "LINEAMIENTO", "PARENT_DOMAIN", "WARNING_PARENT_DOMAIN"], CONTROLS)])
+    inventory = [("T", "CODIGO", "X", 1), ("T", "CODIGOS", "X", 2), ("T", "FECHA", "X", 3)]
+    write_workbook(str(folder / "QA_m.xlsx"), [Sheet("m", ["TABLA_FISICA", "CAMPO_FISICO", "PARENT_DOMAIN", "ORDEN_FISICO"], inventory)])
+    write_workbook(str(folder / "DA_d.xlsm"), [Sheet("d", ["b", "b"], [*[("x", None)] * 4, ("TABLA DDV", "CAMPO DDV"), ("T", "CODIGO")])])
+    names = lambda threshold: [(r.a, r.b) for r in reconcile(spark, Parameters(str(tmp_path / "base"), "run1", control, dry_run=False, hints=True, threshold=threshold))["Similares"].collect()]
+    assert names(0.6) == [("CODIGO", "CODIGOS")] and names(0.99) == []
