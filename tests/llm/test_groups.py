@@ -202,6 +202,18 @@ def test_passages_with_every_document(spark):
     assert sorted(q.other for q in by[60].passages) == [10, *range(20, 45)] and by[60].n_repeated == 120
 
 
+def test_ends_grow_over_edits(spark):
+    """55 words whose 3rd and 52nd are changed are a passage; words beyond it that differ aren't."""
+    r = np.random.default_rng(10)
+    p = words(55, r)
+    q = [*p]
+    q[3], q[52] = "zzzzz", "yyyyy"
+    by = {x.doc_id: x for x in passage_chain.passages(frame(spark, [(1, " ".join(words(40, r) + p + words(40, r))), (2, " ".join(words(30, r) + q + words(30, r)))])).collect()}
+    assert [(x.start, x.end, x.other, x.other_start, x.other_end) for x in by[2].passages] == [(30, 85, 1, 40, 95)]
+    assert by[2].passages[0].identity == pytest.approx(53 / 55, abs=1e-6)
+    assert passage_chain.grow([1, 2, 3, 9, 5], [1, 2, 3, 7, 8], 0.8) == (3, 3, 3) and passage_chain.grow([9, 1, 2, 3, 4, 5, 6], [8, 1, 2, 3, 4, 5, 6], 0.8) == (7, 7, 6)
+
+
 # -- neighbours --------------------------------------------------------------------------------
 
 
