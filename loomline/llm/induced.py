@@ -6,8 +6,9 @@ it in ascending order yields the L suffixes, and a second queue, in descending o
 the S suffixes. A queue carries tuples (position, common prefix with the one before it);
 a common-prefix value is induced as one more than the least value since the last tuple
 that went to the same symbol. Queues keep a bounded number of tuples in memory and the
-rest in an unnamed scratch file, read back in blocks, so that a shard can be larger
-than memory; tuples of a whole block are induced at once.
+rest in an unnamed scratch file, read back in blocks; tuples of a whole block are induced
+at once. Only queues spill: the sequence and the arrays beside it are held in memory, so a
+shard must fit there.
 
 Common-prefix values are capped at `depth`, and suffixes that agree on `depth` symbols
 stand next to each other in any order: all that a search for repeats of that length needs.
