@@ -1,10 +1,11 @@
 """BPE encoding and decoding through a pair occurrence index.
 
-Every partition's texts are cut into chunks at white space. The distinct word pieces
-that the worker has not met yet become one long symbol sequence; an index maps each
-merge rank to all positions of its pair, a heap holds the active ranks, and the ranks
-are applied in ascending order, each at all its positions at once, which adds the
-neighbouring pairs that arise to the index.
+A partition's texts are taken in pieces of a few MB and cut into chunks at white space.
+The distinct word pieces that the task has not met yet become one long symbol sequence; an
+index maps each merge rank to all positions of its pair, a heap holds the active ranks, and
+the ranks are applied in ascending order, each at all its positions at once, which adds the
+neighbouring pairs that arise to the index. Merges never cross word pieces, so a word piece
+that stands in many texts is in the index once.
 
 Defined results: null and empty texts have no ids and decode to ''. Texts of any
 length are encoded whole. Rows are independent, so repeated rows, ties and empty
@@ -24,9 +25,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from loomline.llm.bytewords import lean
+from loomline.llm.spool import small_batches
+
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Word pieces that a worker remembers; beyond this it forgets all and goes on.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _OTHER_SPACE = regex.compile(r"[\x1c-\x1f]")
@@ -259,12 +263,13 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_TOKENIZER)
 
 
-def encode(docs: DataFrame, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = 8_000_000) -> DataFrame:
+def encode(docs: DataFrame, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = 4_000_000) -> DataFrame:
     """(id, ids binary, decoded string) of every row; no shuffle. `path` must exist on the executors."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
+        bpe._forget()  # what an earlier task of this worker has met
         for batch in batches:
             key, texts = batch.column(0), batch.column(1)
             lo, size = 0, 0
@@ -277,5 +282,8 @@ def encode(docs: DataFrame, *, path: str | None = None, id_col: str = "doc_id",
                 if i < len(batch):
                     size += lengths[i]
 
+        bpe._forget()
+
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(lean(run), f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_col)

@@ -8,7 +8,8 @@ hash alone say so; the others compare the bytes afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +29,53 @@ LOWER[0x41:0x5B] += 32
 
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
+#: Powers that a worker keeps from one call to the next.
+KEPT_POWERS = 1 << 21
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n (kept for the next call)."""
+    """BASE**i and BASE**-i for i < n (kept for the next call, unless there are very many)."""
     global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, 2 * len(_pow))
-        with np.errstate(over="ignore"):
-            step = np.full(size, BASE, np.uint64)
-            step[0] = 1
-            _pow = np.cumprod(step)
-            step[1:] = BASE_INV
-            _inv = np.cumprod(step)
-    return _pow[:n], _inv[:n]
+    if len(_pow) >= n:
+        return _pow[:n], _inv[:n]
+    step = np.full(n if n > KEPT_POWERS else min(max(n, 2 * len(_pow)), KEPT_POWERS), BASE, np.uint64)
+    with np.errstate(over="ignore"):
+        step[0] = 1
+        pw = np.cumprod(step)
+        step[1:] = BASE_INV
+        inv = np.cumprod(step)
+    if n <= KEPT_POWERS:
+        _pow, _inv = pw, inv
+    return pw[:n], inv[:n]
+
+
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        return None
+
+
+_malloc_trim = _trim()
+
+
+def release() -> None:
+    """Gives memory that is no longer used back to the system; a worker process serves many tasks."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over Arrow batches that leaves no memory behind in its worker."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -144,7 +178,3 @@ class Words:
         at = np.flatnonzero(doc[:n] == doc[k - 1 :])
         return at, mix(g[at])
 
-
-def word_hash(word: bytes) -> int:
-    """The hash that Words gives this one word."""
-    return int(Words(np.frombuffer(word, np.uint8), np.array([0, len(word)])).hashes()[0])

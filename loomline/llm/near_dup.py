@@ -1,12 +1,14 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 A text's shingles are its runs of five words (all its words, if it has one to four), with
-weight tf * idf. Document frequencies are counted over all documents in a sketch of fixed
-width, so that the table that every task gets has the same size at any scale. ICWS draws
-samples whose collision probability is the weighted Jaccard similarity; they are banded,
-texts that share a band are candidates, and a pair is linked if its weighted Jaccard
-similarity, measured on the whole texts, is at least the threshold. Classes are connected
-components of the links, named by their least id.
+weight tf * idf. Document frequencies are counted over all documents: exactly for every
+shingle that at least one document in FREQUENT has, while rarer ones count as if they had
+just that share and all get the greatest idf. So an idf depends on a shingle's share of
+the documents, not on their number, and the table of counts that tasks get has a proven
+bound. ICWS draws samples whose collision probability is the weighted Jaccard similarity;
+they are banded, texts that share a band are candidates, and a pair is linked if its
+weighted Jaccard similarity, measured on the whole texts, is at least the threshold.
+Classes are connected components of the links, named by their least id.
 
 No bucket is expanded into all its pairs: each member is held against the bucket's first
 LEADERS members in the order of a hash, which settles buckets that small and connects the
@@ -14,7 +16,8 @@ members of large groups of near copies. What is left are larger buckets whose me
 still in different components, mostly texts that only share a heavy common line. For these
 documents candidates are found in another, exact way: two texts that are similar enough
 must share one of the rarest shingles that make up a fifth of each one's weight (prefix
-filtering, rarity by the sketch), so that every pair of them still gets its measurement.
+filtering, rarity by the counted frequencies, then by hash), so that every pair of them
+still gets its measurement.
 
 Defined results: equal word sequences are one class without a measurement; texts without
 words, null and empty ones are linked to texts that equal them (null counts as empty).
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -35,20 +39,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.bytewords import Words, mix, pieces, text_bytes
+from loomline.llm.bytewords import Words, lean, mix, pieces, text_bytes
 from loomline.llm.components import components
 from loomline.llm.spool import Spool
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 shares no band of 16 by 3 samples with a chance of 1 in 100,000.
 BANDS, ROWS = 16, 3
+#: A shingle in one document of so many has its frequency counted; MOST_COUNTED such shingles at most (8 MB).
+FREQUENT, MOST_COUNTED = 1000, 1 << 19
 SKETCH_BITS = 20
 #: Members of a bucket that all others are held against.
 LEADERS = 8
 #: Pairs that one turn over the documents left may look at, for each of their shingles; most fail the bound in the join.
 PAIRS = 256
-#: Of the 48 samples, so many must agree before two texts are measured (at similarity 0.8 fewer do with a chance of 1 in 100,000).
-AGREE = 26
+#: Of the 48 samples, so many must agree before two texts are measured (at similarity 0.8 fewer do with a chance of 1 in a million).
+AGREE = 24
 
 _rng = np.random.default_rng(11)
 _uniform = lambda: 1 - _rng.random(1 << 16)
@@ -80,8 +86,33 @@ def bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
-    """Documents a shingle bucket, and documents; the partitions' counts are added up in parts before they come here."""
+@dataclass
+class Frequencies:
+    """Documents, the least frequency that is counted, and the shingles that have it (ascending) with their frequencies."""
+
+    documents: int
+    floor: int
+    shingles: np.ndarray
+    counts: np.ndarray
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Frequency of each shingle, the floor if it is lower."""
+        out = np.full(len(h), self.floor, np.int64)
+        if len(self.shingles):
+            k = np.searchsorted(self.shingles, h)
+            k[k == len(self.shingles)] = 0
+            same = self.shingles[k] == h
+            out[same] = self.counts[k[same]]
+        return out
+
+    def idf(self, df: np.ndarray) -> np.ndarray:
+        """Between 1 and 1.5: what thousands of near copies share must not weigh so little that their few edits part them."""
+        most = np.log(max(self.documents / self.floor, np.e))
+        return 1 + 0.5 * np.clip(np.log(max(self.documents, 1) / df) / most, 0, 1)
+
+
+def _cells(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
+    """Documents a shingle cell, and documents; the partitions' counts are added up in parts before they come here."""
     parts = 16
     width = (1 << SKETCH_BITS) // parts
 
@@ -104,17 +135,57 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary()), pa.array([n[p] for p in total], pa.int64())], ["part", "seen", "n"])
 
-    counted = docs.select(docs[text_col].cast("string")).mapInArrow(count, "part int, seen binary, n bigint")
+    counted = docs.select(docs[text_col].cast("string")).mapInArrow(lean(count), "part int, seen binary, n bigint")
     out, docs_seen = np.zeros(1 << SKETCH_BITS, np.int64), 0
-    for r in counted.repartition(parts, "part").mapInArrow(add, "part int, seen binary, n bigint").toLocalIterator():
+    for r in counted.repartition(parts, "part").mapInArrow(lean(add), "part int, seen binary, n bigint").toLocalIterator():
         out[r.part * width : (r.part + 1) * width] = np.frombuffer(r.seen, np.int64)
         docs_seen += r.n
     return out, docs_seen
 
 
-def damped_idf(df: np.ndarray, n: int) -> np.ndarray:
-    """Between 1 and 1.5: what thousands of near copies share must not weigh so little that their few edits part them."""
-    return 1 + 0.5 * np.log1p(n / np.maximum(df, 1)) / np.log1p(max(n, 1))
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies:
+    """Exact frequencies of all frequent shingles, in two passes over all texts.
+
+    The first counts cells of shingles; only those in cells that hold as many documents as a
+    frequent shingle has are counted one by one in the second. Documents hold S shingles in
+    all, so no more than S / floor of them can have the frequency `floor`: that bounds the table.
+    """
+    cells, n = _cells(docs, text_col)
+    floor = max(-(-n // FREQUENT), -(-int(cells.sum()) // MOST_COUNTED), 1)
+    loud = cells >= max(floor, 2)
+    if not loud.any():
+        return Frequencies(n, floor, np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return h, np.bincount(at, np.concatenate([c for _, c in held]), len(h)).astype(np.int64)
+
+        for batch in batches:
+            for lo, hi, b, o in pieces(*text_bytes(batch.column(0))):
+                h = profiles(Words(b, o), hi - lo)[1]
+                h = h[loud[bucket(h)]]
+                held.append((h, np.ones(len(h), np.int64)))
+                size += len(h)
+                if size > 1 << 20:
+                    held = [summed()]
+                    if len(held[0][0]) > 1 << 19:
+                        yield told(*held.pop())
+                    size = sum(len(x) for x, _ in held)
+        if held:
+            yield told(*summed())
+
+    def told(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "n"])
+
+    counted = docs.select(docs[text_col].cast("string")).mapInArrow(lean(count), "h bigint, n bigint")
+    found = counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(floor, 2)).toArrow()
+    h, c = (found.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(h.view(np.uint64))
+    return Frequencies(n, floor, h.view(np.uint64)[order], c[order])
 
 
 def samples(off: np.ndarray, h: np.ndarray, log_weight: np.ndarray) -> np.ndarray:
@@ -179,18 +250,19 @@ def prefixes(off: np.ndarray, h: np.ndarray, weight: np.ndarray, rarity: np.ndar
     return np.searchsorted(doc[keep], np.arange(len(off))), h[keep], (total[doc] - before + start[doc])[keep]
 
 
-def _signer(idf: np.ndarray, rarity: np.ndarray, threshold: float):
+def _signer(known: Frequencies, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, b, o in pieces(*text_bytes(batch.column(1))):
                 words = Words(b, o)
                 off, h, tf = profiles(words, hi - lo)
-                weight = tf * idf[bucket(h)]
+                df = known.of(h)
+                weight = tf * known.idf(df)
                 full = np.flatnonzero(np.diff(off) > 0)
                 keys, total, sketch = [None] * (hi - lo), [None] * (hi - lo), [None] * (hi - lo)
                 rare_off, rare, rest = np.zeros(hi - lo + 1, np.int64), np.empty(0, np.uint64), np.empty(0)
                 if len(full):
-                    rare_off, rare, rest = prefixes(off, h, weight, rarity[bucket(h)], threshold)
+                    rare_off, rare, rest = prefixes(off, h, weight, df, threshold)
                     sig, sums = samples(off, h, np.log(weight)), np.add.reduceat(weight, off[:-1][full])
                     few = (sig >> np.uint64(56)).astype(np.uint8)
                     for i, k, w, s in zip(full.tolist(), band_keys(sig, sums, threshold), sums.tolist(), few, strict=True):
@@ -200,7 +272,7 @@ def _signer(idf: np.ndarray, rarity: np.ndarray, threshold: float):
                 digest = [blake2b(raw[s:e] if e > s else b"=" + bytes(b[x:y]), digest_size=16).digest() for s, e, x, y in zip(cut_at, cut_at[1:], o, o[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(total, pa.float64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(rare_off, pa.int32()), pa.StructArray.from_arrays([pa.array((rare >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(rest.astype(np.float32) * np.float32(1 + 1e-6))], ["key", "rest"]))], ["id", "digest", "keys", "weight", "sketch", "rare"])
 
-    return run
+    return lean(run)
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +283,7 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
 
 
-def _measure(idf: np.ndarray, threshold: float):
+def _measure(known: Frequencies, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict = OrderedDict()
 
@@ -219,7 +291,7 @@ def _measure(idf: np.ndarray, threshold: float):
             if key not in kept:
                 b, o = text_bytes(pa.array([text], pa.large_string()))
                 _, h, tf = profiles(Words(b, o), 1)
-                kept[key] = h, tf * idf[bucket(h)]
+                kept[key] = h, tf * known.idf(known.of(h))
                 if len(kept) > 64:
                     kept.popitem(last=False)
             kept.move_to_end(key)
@@ -235,7 +307,7 @@ def _measure(idf: np.ndarray, threshold: float):
                     s.append(sim)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["u", "v", "similarity"])
 
-    return run
+    return lean(run)
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -243,9 +315,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     spool = Spool(spark, "near-dup")
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    df, n = document_frequencies(docs, text_col)
-    idf = damped_idf(df, n)
-    signed = spool.table("signed", texts.mapInArrow(_signer(idf, df, threshold), "id bigint, digest binary, keys array<bigint>, weight double, sketch binary, rare array<struct<key:int,rest:float>>"))
+    known = document_frequencies(docs, text_col)
+    signed = spool.table("signed", texts.mapInArrow(_signer(known, threshold), "id bigint, digest binary, keys array<bigint>, weight double, sketch binary, rare array<struct<key:int,rest:float>>"))
     reps = spool.table("reps", signed.groupBy("digest").agg(F.min("id").alias("rep"), *[F.first(c, ignorenulls=True).alias(c) for c in ("keys", "weight", "sketch", "rare")]))
     bands = reps.where("keys is not null").select(F.explode("keys").alias("key"), "rep")
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -260,7 +331,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         pairs = spool.table(f"pairs_{name}", pairs.mapInArrow(_agree, "u bigint, v bigint").distinct())
         x, y = (texts.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text")) for c in "uv")
         both = pairs.join(x, "u").join(y, "v").select("u", "v", "u_text", "v_text")
-        return spool.table(f"links_{name}", both.mapInArrow(_measure(idf, threshold), "u bigint, v bigint, similarity double"))
+        return spool.table(f"links_{name}", both.mapInArrow(_measure(known, threshold), "u bigint, v bigint, similarity double"))
 
     links = linked(bands.join(leaders, "key"), "0")
     roots = components(links.select("u", "v"))
@@ -284,6 +355,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             links, more = links.unionByName(new), True
     if more:
         roots = components(links.select("u", "v"))
+    spool.drop("bands", "left", "rare", *(f"{what}_{k}" for what in ("pairs", "links") for k in range(turns + 1)))
     roots = roots.select(F.col("node").alias("rep"), "root")
     named_class = reps.join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("class_id"))
     return signed.select("id", "digest").join(named_class, "digest").select(F.col("id").alias(id_col), "class_id")

@@ -2,14 +2,16 @@
 
 A numpy logistic model over the presence of words and word beginnings is trained with
 the class-prior-corrected risk  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),
-where confirmed toxic rows are the positives and every other row of the training
-sample is unlabelled: a label of 0 is never used as a negative. The fit takes a bounded
-sample of labelled rows (`max_rows`, chosen by a hash of the id); everything it then
-scores, it scores whole.
+where confirmed toxic rows are the positives and the unlabelled texts are drawn from all
+documents that aren't held out, whatever `labels` says of them: a label of 0 is never used
+as a negative. The prior is the share of toxic rows among the labelled ones, unless it is
+given. The fit takes a bounded sample (`max_rows`, a third of it positives, chosen by a
+hash of the id); everything it then scores, it scores whole.
 
 Defined results: null and empty texts have no features and get the model's score for
 that; without any positive training row every score is 0; labels that are null or for
-unknown documents are left out, and repeated label rows count once. Scores depend on
+unknown documents are left out, and repeated rows of an id count once, with their least
+text and greatest label. Scores depend on
 the text alone, so equal texts score alike. Only the named columns are read.
 """
 
@@ -24,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.bytewords import Words, pieces, text_bytes
+from loomline.llm.bytewords import Words, lean, pieces, release, text_bytes
+from loomline.llm.spool import small_batches
 
 #: Bytes of word beginnings that are features beside the whole words.
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -116,21 +119,24 @@ def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_features: int = 4096, min_support: int = 3, workers: int = 12) -> Model:
-    """Fit on at most `max_rows` labelled rows with crc32(id) mod 3 other than 1.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 12_000, max_features: int = 4096, min_support: int = 3, workers: int = 12, prior: float | None = None) -> Model:
+    """Fit on at most `max_rows` rows with crc32(id) mod 3 other than 1.
 
     The driver gets counts of fixed size per worker, then of each sample row only the
     numbers of at most `max_features` chosen features.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1))
+    learns = lambda c: c.isNotNull() & (F.crc32(c.cast("string").cast("binary")) % 3 != 1)
+    known = labels.where(F.col(label_col).isNotNull() & learns(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    # the positives, and apart from them rows whose label isn't looked at; both in the order of a hash
-    first = lambda rows, n, name: rows.orderBy(F.xxhash64("id"), "id").limit(n).select("id", F.lit(1).alias(name))
-    chosen = first(known.where("y = 1"), max_rows // 3, "p").join(first(known, max_rows - max_rows // 3, "u"), "id", "full").na.fill(0, ["p", "u"])
     rate = known.agg(F.avg("y"), F.count("*")).first()
     if not rate[1] or not rate[0]:
         return Model(np.empty(0, np.uint64), np.empty(0), -50.0)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").repartition(workers, "id").select("text", "p", "u")
+    # the positives, and apart from them documents whose label isn't looked at; both in the order of a hash
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    first = lambda rows, n, name: rows.orderBy(F.xxhash64("id"), "id").limit(n).distinct().select("id", F.lit(1).alias(name))
+    positives = first(known.where("y = 1").select("id"), max_rows // 3, "p")
+    chosen = positives.join(first(texts.where(learns(F.col("id"))).select("id"), max_rows - max_rows // 3, "u"), "id", "full").na.fill(0, ["p", "u"])
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("p").alias("p"), F.max("u").alias("u")).repartition(workers, "id").select("text", "p", "u")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, BUCKETS), np.int32)
@@ -146,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary()), pa.array([int(n[0])]), pa.array([int(n[1])])], ["seen", "n_p", "n_u"])
 
     seen, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
-    for r in sample.mapInArrow(count, "seen binary, n_p bigint, n_u bigint").toLocalIterator():
+    for r in sample.mapInArrow(lean(count), "seen binary, n_p bigint, n_u bigint").toLocalIterator():
         seen += np.frombuffer(r.seen, np.int32).reshape(2, BUCKETS)
         n += (r.n_p, r.n_u)
     if not n.all():
@@ -164,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), batch.column(1), batch.column(2)], ["h", "p", "u"])
 
     flags, found = [], []
-    for r in sample.mapInArrow(pick, "h binary, p int, u int").toLocalIterator():
+    for r in sample.mapInArrow(lean(pick), "h binary, p int, u int").toLocalIterator():
         found.append(np.frombuffer(r.h, "<u8"))
         flags.append((r.p, r.u))
     positive, unlabelled = np.array(flags).T
@@ -181,20 +187,19 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         k = number[at[lo:hi]]
         rows.append(k[k >= 0])
     order = sorted(range(len(rows)), key=lambda i: (flags[i], rows[i].tolist()))  # the same model whatever order rows arrive in
-    w, b = nnpu_fit([rows[i] for i in order], positive[order], unlabelled[order], len(keep), float(rate[0]))
+    w, b = nnpu_fit([rows[i] for i in order], positive[order], unlabelled[order], len(keep), float(rate[0]) if prior is None else prior)
     return Model(every[keep], w, b)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of docs and `score_col`, which replaces a column of that name; no shuffle."""
-    schema = docs.drop(score_col).schema
-    order = [c for c in docs.columns if c != score_col]
-    shown = docs.select(*[docs[c] for c in order])
-    at = order.index(text_col)
+    """All columns of docs and `score_col`, which replaces a column of that name; no shuffle. Only the text goes through Python."""
+    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = model.scores(*text_bytes(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*order, score_col])
+    @F.arrow_udf("double")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            yield pa.array(model.scores(*text_bytes(text)))
+        release()
 
-    return shown.mapInArrow(run, schema.add(score_col, "double"))
+    others = [docs[c] for c in docs.columns if c != score_col]
+    return docs.select(*others, run(docs[text_col].cast("string")).alias(score_col))

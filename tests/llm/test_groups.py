@@ -1,5 +1,8 @@
 """Operators that compare rows, against brute force on small fixtures."""
 
+import math
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -88,15 +91,22 @@ def test_components(spark):
 
 
 def brute_classes(rows):
+    """Classes by counted frequencies: tf * (1 + 0.5 * log(n / df) / log(n / floor)) over Jaccard pairs, all of them."""
     from collections import Counter
 
-    from loomline.llm.bytewords import Words, text_bytes
-    import pyarrow as pa
+    tf = []
+    for _, t in rows:
+        w = re.findall(r"[0-9a-z]+", (t or "").lower())
+        tf.append(Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))))
+    df, n = Counter(g for c in tf for g in c), len(rows)
+    floor = max(-(-n // near_dup.FREQUENT), -(-sum(map(len, tf)) // near_dup.MOST_COUNTED))
+    idf = {g: 1 + 0.5 * math.log(n / max(d, floor)) / math.log(n / floor) for g, d in df.items()}
+    weighed = [{g: k * idf[g] for g, k in c.items()} for c in tf]
+
+    def similarity(a, b):
+        least = sum(min(x, b[g]) for g, x in a.items() if g in b)
+        return least / (sum(a.values()) + sum(b.values()) - least) if a and b else 0
 
-    prof = [near_dup.profiles(Words(*text_bytes(pa.array([t], pa.string()))), 1) for _, t in rows]
-    df = Counter(int(b) for _, h, _ in prof for b in near_dup.bucket(h))
-    idf = near_dup.damped_idf(np.array([df.get(i, 0) for i in range(1 << near_dup.SKETCH_BITS)]), len(rows))
-    weighed = [(h, tf * idf[near_dup.bucket(h)]) for _, h, tf in prof]
     root = list(range(len(rows)))
 
     def find(a):
@@ -106,7 +116,7 @@ def brute_classes(rows):
 
     for a in range(len(rows)):
         for b in range(a):
-            same = (rows[a][1] or "") == (rows[b][1] or "") or near_dup.weighted_jaccard(weighed[a], weighed[b]) >= near_dup.THRESHOLD
+            same = (rows[a][1] or "") == (rows[b][1] or "") or similarity(weighed[a], weighed[b]) >= near_dup.THRESHOLD
             if same and find(a) != find(b):
                 root[find(a)] = find(b)
     least = {}
@@ -134,6 +144,23 @@ def test_near_duplicates(spark):
     assert near_dup.classes(frame(spark, [])).count() == 0
 
 
+def test_frequencies_are_counted(spark, monkeypatch):
+    """Frequent shingles get their true document frequency, the rest get the floor."""
+    from loomline.llm.bytewords import Words, text_bytes
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dup, "FREQUENT", 20)
+    r = np.random.default_rng(12)
+    lines = [" ".join(words(7, r)) for _ in range(4)]
+    texts = [" ".join(words(12, r)) + " " + " ".join(lines[k] for k in range(4) if i % (k + 2) == 0) for i in range(200)] + [None, lines[0] + " " + lines[0]]
+    got = near_dup.document_frequencies(frame(spark, list(enumerate(texts))))
+    profiles = [near_dup.profiles(Words(*text_bytes(pa.array([t], pa.string()))), 1)[1] for t in texts]
+    h, true = np.unique(np.concatenate(profiles), return_counts=True)
+    assert got.documents == 202 and got.floor == 11
+    assert (got.of(h) == np.maximum(true, 11)).all() and len(got.shingles) == (true >= 11).sum()
+    assert got.idf(np.array([11, 202])).tolist() == [1.5, 1.0]
+
+
 def test_icws_estimates_similarity():
     h = np.sort(rng.integers(0, 2**63, 400, dtype=np.uint64))
     w = rng.random(400) + 0.5
