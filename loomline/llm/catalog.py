@@ -42,8 +42,8 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, with the documents of smaller ids that it shares a passage with."""
-    found = passage_chain.passages(_table(spark, sf_dir, "documents"))
+    """Every document, with the least document of each text of smaller ids that it was found to share a passage with."""
+    found = passage_chain.passages(_table(spark, sf_dir, "documents"), all_meet=8, every_copy=False)
     return found.select("doc_id", "n_repeated", "n_passages", F.array_sort(F.array_distinct(F.col("passages.other"))).alias("others"))
 
 

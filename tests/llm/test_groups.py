@@ -229,6 +229,24 @@ def test_passages_with_every_document(spark):
     assert sorted(q.other for q in by[60].passages) == [10, *range(20, 45)] and by[60].n_repeated == 120
 
 
+def test_whole_passages_behind_hot_halves(spark):
+    """Sixty documents hold the first half, sixty the second, two the whole: the later of these is held against the other one."""
+    r = np.random.default_rng(14)
+    p, line = words(90, r), words(12, r)
+    part = {i: p[:40] if i <= 60 else p[50:] if i <= 120 else p for i in range(1, 123)}
+    docs = [(i, words(20, r) + line + words(20, r) + x + words(20, r)) for i, x in part.items()]
+    by = {x.doc_id: x for x in passage_chain.passages(frame(spark, [(i, " ".join(w)) for i, w in docs]), all_meet=8, every_copy=False).collect()}
+    assert [(q.start, q.end, q.other, q.other_start) for q in by[122].passages] == [(52, 142, 121, 52)] and by[122].n_repeated == 90
+    assert all(by[i].n_repeated == 0 for i in range(1, 122))
+    near = words(200, r)
+    docs = [(i, edited(near, 6, r)) for i in range(100)]
+    by = {x.doc_id: x for x in passage_chain.passages(frame(spark, [(i, " ".join(w)) for i, w in docs]), all_meet=8, every_copy=False).collect()}
+    assert by[0].n_repeated == 0 and all(by[i].n_repeated >= 180 for i in range(1, 100))
+    turns = [(i, ["again"] * (400 + 50 * i)) for i in range(20)]
+    by = {x.doc_id: x for x in passage_chain.passages(frame(spark, [(i, " ".join(w)) for i, w in turns]), all_meet=8, every_copy=False).collect()}
+    assert by[0].n_repeated == 0 and all(by[i].n_repeated >= 400 for i in range(1, 20)) and sum(x.n_passages for x in by.values()) < 1000
+
+
 def test_ends_grow_over_edits(spark):
     """55 words whose 3rd and 52nd are changed are a passage; words beyond it that differ aren't."""
     r = np.random.default_rng(10)
