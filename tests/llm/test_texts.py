@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +136,31 @@ def test_main_text(spark):
     assert html_main.main_text(layout) == "The text, of some length, stands here for all to read.\nAnd goes on, for a while, in a second paragraph."
 
 
+ARTICLE = "<p>The text, of some length, stands here for all to read.</p><p>And goes on, for a while, in a second paragraph.</p>"
+PLAIN = "The text, of some length, stands here for all to read.\nAnd goes on, for a while, in a second paragraph."
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "layout has-sidebar", "entry comments-open", "post share-enabled", "page header-fixed", "ad-free story", "with-related main", "form"])
+def test_layout_names_keep_the_article(name):
+    side = '<div class="sidebar-left"><p>Links, links, and more links in a side column here.</p></div><div class="post-comments"><p>A reader says, at great length, in many words, with commas, that this is nice, and so on, and on.</p></div>'
+    assert html_main.main_text(f'<div class="{name}">{ARTICLE}</div>{side}') == PLAIN
+    assert html_main.main_text(f'<article><div class="{name}">{ARTICLE}</div></article>{side}') == PLAIN
+
+
+def test_scoring_needs_no_article_element(spark):
+    """Of the test pages the same text comes out when their article is a plain div."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        found = html_main.main_text(r.html)
+        assert found == html_main.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", r.html or "")) and (found or not r.html)
+
+
+def test_pages_are_read_in_linear_time():
+    began = time.perf_counter()
+    for page in ("<div>" + "<span>x</b>" * 30000, "<i><div>" + "<b>" * 20000 + "</i>" * 20000 + "<p>" * 20000 + "<li>" * 20000, "<div>x" * 20000, "<a" * 50000):
+        html_main.main_text(page)
+    assert time.perf_counter() - began < 20
+
+
 def test_licenses(spark):
     texts = [*ODD, "Released under the MIT License.", "mit license MIT-License, apache\nlicense", "GNU General Public License; general public  license", "Licensed under CC BY-NC 4.0.", "Permission is hereby granted, free of charge, to any person getting a copy of this software and associated documentation files", "Kit license mit", "public license"]
     got = license_scan.scan(frame(spark, texts)).orderBy("doc_id").collect()
