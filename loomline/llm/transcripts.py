@@ -1,13 +1,15 @@
 """Chat formatting: roles by a hidden Markov model, then canonical turns.
 
-Each row of a conversation is cut into lines. A line may carry a speaker marker (the
-row's role column, or a spelled one such as `User:`, `### Response`, `<|im_start|>user`);
-the first line of a row also carries the row's length and whether it asks something. The
-model's transitions and emissions are counted from rows whose role is known. Viterbi finds
-the likeliest roles of a whole conversation: blocks of rows are first folded into small
-max-plus matrices, the blocks' end states are settled from those, and each block is then
-decoded between its end states. So a conversation of any length is decoded exactly, and
-no task ever holds more of it than a block, or than one matrix for each block.
+Each row of a conversation is cut into lines. A line may carry a speaker marker (a spelled
+one such as `User:`, `### Response`, `<|im_start|>user`; with `role_marks` also the row's
+role column) and has features of its own: the first line those of its row, its length class
+and whether it asks something, every other line the same of itself. The model's transitions
+and emissions are counted from rows whose role is known. Viterbi finds the likeliest roles
+of a whole conversation: its rows, put in order over all tasks, are cut into blocks of at
+most BLOCK rows by their place, blocks are first folded into small max-plus matrices, the
+blocks' end states are settled from those, and each block is then decoded between its end
+states. So a conversation of any length is decoded exactly, and no task ever holds more of
+it than a block, or than one matrix for each block.
 
 Defined results: null and empty texts are turns without text; rows of a null conversation
 form one conversation; null turns come first, equal turns in the order of their text, and
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.bytewords import lean
 from loomline.llm.spool import Spool
 
 ROLES = ("system", "user", "assistant", "tool")
@@ -43,6 +46,7 @@ _MARKER = re.compile(rf"\s*(?:<\|(?:im_start|start_header_id)\|>\s*({_NAME})\b(?
 #: Rows of a conversation that are decoded together.
 BLOCK = 256
 LENGTHS = (40, 160, 640, 2560)
+LINE_LENGTHS = (20, 80, 320)
 
 
 @dataclass
@@ -50,6 +54,7 @@ class Hmm:
     start: np.ndarray  # log P(role of the first line)
     turn: np.ndarray  # log P(role | role before) where a row begins
     look: np.ndarray  # log P(length class, asks | role) of a row
+    line: np.ndarray  # the same of each further line of a row
     #: How sure a marker is: the chance that it names another role than the speaker's.
     wrong: float = 0.02
     #: The chance that a speaker changes inside a row, without and with a marker there.
@@ -72,6 +77,11 @@ def look_of(text: str) -> int:
     return 2 * int(np.searchsorted(LENGTHS, len(text), "right")) + ("?\n" in text or text.rstrip().endswith("?"))
 
 
+def look_of_line(line: str) -> int:
+    """The class of one line."""
+    return 2 * int(np.searchsorted(LINE_LENGTHS, len(line), "right")) + line.endswith("?")
+
+
 def role_number(name: str | None) -> int | None:
     known = ALIASES.get((name or "").strip().lower())
     return None if known is None else ROLES.index(known)
@@ -94,9 +104,9 @@ def steps_of(hmm: Hmm, rows: list[tuple[str | None, str | None]]) -> tuple[list[
     for role, text in rows:
         own = lines_of(role, text)
         lines.append(own)
-        for k, (mark, _) in enumerate(own):
+        for k, ((mark, _), line) in enumerate(zip(own, (text or "").split("\n"), strict=True)):
             moves.append(hmm.turn if k == 0 else hmm.inside(mark is not None))
-            says.append(hmm.marker(mark) + (hmm.look[:, look_of(text or "")] if k == 0 else 0))
+            says.append(hmm.marker(mark) + (hmm.look[:, look_of(text or "")] if k == 0 else hmm.line[:, look_of_line(line)]))
     return moves, says, lines
 
 
@@ -167,6 +177,12 @@ def fit(talks: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn",
     size = sum(F.when(F.length(text) >= x, 1).otherwise(0) for x in LENGTHS)
     look = 2 * size + F.when(text.contains("?\n") | F.rtrim(text).endswith("?"), 1).otherwise(0)
     rows = talks.select(talks[conv_col].alias("conv"), talks[turn_col].cast("long").alias("turn"), number.alias("role"), look.alias("look")).where("role is not null")
+    each = F.explode(F.slice(F.split(text, "\n"), 2, 2**31 - 1))
+    lines = talks.select(number.alias("role"), each.alias("line")).where("role is not null")
+    line_look = 2 * sum(F.when(F.length("line") >= x, 1).otherwise(0) for x in LINE_LENGTHS) + F.when(F.col("line").endswith("?"), 1).otherwise(0)
+    line = np.ones((n, 2 * len(LINE_LENGTHS) + 2))
+    for r in lines.groupBy("role", line_look.alias("look")).count().collect():
+        line[r.role, r["look"]] += r["count"]
     start, turn, looks = np.array([0.3, 0.65, 0.03, 0.02]) * 20, np.ones((n, n)), np.ones((n, 2 * len(LENGTHS) + 2))
     turn += 10 * np.array([[0, 1, 0, 0], [0, 0, 1, 0], [0, 1, 0, 0.2], [0, 0, 1, 0]])
     for r in rows.groupBy("role", "look").count().collect():
@@ -178,7 +194,7 @@ def fit(talks: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn",
     firsts = rows.groupBy("conv").agg(F.min(F.struct("turn", "role")).alias("f")).groupBy("f.role").count()
     for r in firsts.collect():
         start[r.role] += r["count"]
-    return Hmm(np.log(start / start.sum()), np.log(turn / turn.sum(1, keepdims=True)), np.log(looks / looks.sum(1, keepdims=True)))
+    return Hmm(np.log(start / start.sum()), np.log(turn / turn.sum(1, keepdims=True)), np.log(looks / looks.sum(1, keepdims=True)), np.log(line / line.sum(1, keepdims=True)))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[dict]]]:
@@ -201,17 +217,21 @@ def _emit(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
 
-def parse(talks: DataFrame, hmm: Hmm, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv, turn, part, role, text, rendered, marked): one row a recovered turn."""
+def parse(talks: DataFrame, hmm: Hmm, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", role_marks: bool = True) -> DataFrame:
+    """(conv, turn, part, role, text, rendered, marked): one row a recovered turn. Without `role_marks` the role column isn't read."""
     kind = talks.schema[conv_col].dataType.simpleString()
-    rows = talks.select(talks[conv_col].alias("conv"), talks[turn_col].cast("long").alias("turn"), talks[role_col].cast("string").alias("role"), talks[text_col].cast("string").alias("text"))
-    rows = rows.withColumn("block", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK)).select("conv", "block", "turn", "role", "text")
+    role = talks[role_col].cast("string") if role_marks else F.lit(None).cast("string")
+    rows = talks.select(talks[conv_col].alias("conv"), talks[turn_col].cast("long").alias("turn"), role.alias("role"), talks[text_col].cast("string").alias("text"))
     spool = Spool(talks.sparkSession, "transcripts")
+    # all rows in order over the tasks; a block is BLOCK rows in a row of one task, so equal turns are cut as well
+    order = ["conv", "turn", "text", "role"]
+    rows = rows.withColumn("source", F.monotonically_increasing_id()).repartitionByRange(*order, "source").sortWithinPartitions(*order, "source").drop("source")
+    nth = F.col("nth")
+    block = F.shiftleft(F.shiftright(nth, 33), 26) + F.floor(nth.bitwiseAND((1 << 33) - 1) / BLOCK)
+    rows = spool.table("rows", rows.withColumn("nth", F.monotonically_increasing_id()).withColumn("block", block))
     firsts = rows.groupBy(F.col("conv").alias("c")).agg(F.min("block").alias("first_block"))
-    rows = rows.join(firsts, F.col("conv").eqNullSafe(F.col("c"))).select("conv", "block", (F.col("block") == F.col("first_block")).alias("first"), "turn", "role", "text")
-    order = ["conv", "block", "turn", "text", "role"]
-    rows = spool.table("blocks", rows.repartition("conv", "block").sortWithinPartitions(*order))
-    arranged = rows.repartition("conv", "block").sortWithinPartitions(*order).select("conv", "block", "first", "turn", "role", "text")
+    arranged = rows.join(firsts, F.col("conv").eqNullSafe(F.col("c"))).select("conv", "block", (F.col("block") == F.col("first_block")).alias("first"), "nth", "role", "text")
+    arranged = arranged.repartition("conv", "block").sortWithinPartitions("conv", "block", "nth")
 
     def fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, out = None, []
@@ -227,7 +247,7 @@ def parse(talks: DataFrame, hmm: Hmm, *, conv_col: str = "conv_id", turn_col: st
         if out:
             yield _emit(out, schema)
 
-    folded = arranged.mapInArrow(fold_blocks, f"conv {kind}, block bigint, matrix array<double>")
+    folded = arranged.mapInArrow(lean(fold_blocks), f"conv {kind}, block bigint, matrix array<double>")
 
     def settle_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, out = None, []
@@ -244,7 +264,7 @@ def parse(talks: DataFrame, hmm: Hmm, *, conv_col: str = "conv_id", turn_col: st
 
     ends = folded.repartition("conv").sortWithinPartitions("conv", "block").mapInArrow(settle_all, f"conv {kind}, block bigint, before int, end int")
     ends = ends.select(F.col("conv").alias("c"), F.col("block").alias("b"), "before", "end")
-    both = rows.join(ends, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("conv", "block", "before", "end", "turn", "role", "text")
+    both = rows.join(ends, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("conv", "block", "before", "end", "nth", "turn", "role", "text")
 
     def decode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, out, size = None, [], 0
@@ -262,7 +282,7 @@ def parse(talks: DataFrame, hmm: Hmm, *, conv_col: str = "conv_id", turn_col: st
         if out:
             yield _emit(out, schema)
 
-    decoded = both.repartition("conv", "block").sortWithinPartitions(*order).mapInArrow(decode_blocks, f"conv {kind}, turn bigint, part int, role string, text string, rendered string, marked boolean")
+    decoded = both.repartition("conv", "block").sortWithinPartitions("conv", "block", "nth").mapInArrow(lean(decode_blocks), f"conv {kind}, turn bigint, part int, role string, text string, rendered string, marked boolean")
     return decoded.withColumnRenamed("conv", conv_col).withColumnRenamed("turn", turn_col)
 
 

@@ -341,3 +341,35 @@ def test_blocks_decode_like_the_whole(spark, monkeypatch):
     moves, says, lines = transcripts.steps_of(hmm, [(x[2], x[3]) for x in rows])
     end = int(transcripts.fold(moves, says, hmm.start)[0].argmax())
     assert [transcripts.ROLES[s] for s in transcripts.decode(moves, says, hmm.start, None, end)] == whole
+
+
+def test_decoding_is_the_best_of_all_paths():
+    """Viterbi against every path of short conversations, by their whole probability."""
+    from itertools import product
+
+    r = np.random.default_rng(15)
+    n = len(transcripts.ROLES)
+    for _ in range(25):
+        p = [np.log(x / x.sum(-1, keepdims=True)) for x in (r.random(n), r.random((n, n)), r.random((n, 10)), r.random((n, 8)))]
+        hmm = transcripts.Hmm(*p)
+        rows = [(None, str(r.choice(["a?", "b " * 50, "x\nUser: y?", "Assistant: ok\nmore of it", ""]))) for _ in range(3)]
+        moves, says, _ = transcripts.steps_of(hmm, rows)
+        total = lambda path: hmm.start[path[0]] + says[0][path[0]] + sum(moves[k][path[k - 1], path[k]] + says[k][path[k]] for k in range(1, len(path)))
+        best = max(total(path) for path in product(range(n), repeat=len(says)))
+        end = int(transcripts.fold(moves, says, hmm.start)[0].argmax())
+        assert total(transcripts.decode(moves, says, hmm.start, None, end)) == pytest.approx(best)
+
+
+def test_roles_are_recovered_without_the_column(spark):
+    talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    got = transcripts.parse(talks, transcripts.fit(talks), role_marks=False).join(talks.select("conv_id", "turn", F.col("role").alias("said")), ["conv_id", "turn"])
+    n, right = got.selectExpr("count(*)", "count_if(role = said)").first()
+    assert n == talks.count() and right / n > 0.95
+
+
+def test_equal_and_null_turns_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(transcripts, "BLOCK", 8)
+    rows = [(1, None, None, f"line {i % 3}", "x") for i in range(60)] + [(None, 7, "user", "same", "x")] * 40 + [(2, 0, None, "word " * 60000, "x")]
+    talks = spark.createDataFrame(rows, TALK)
+    got = transcripts.parse(talks, transcripts.fit(talks)).collect()
+    assert len(got) == 101 and sum(r.conv_id is None for r in got) == 40 and max(len(r.text) for r in got) == 299999
