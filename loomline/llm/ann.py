@@ -5,7 +5,9 @@ In each probed list the rotated vectors are scanned in blocks of columns; after
 a hypothesis test on the partial distance abandons the candidates that will hardly come
 under the query's bound. What survives is measured exactly, in double precision, on the
 original vectors. The number of probed lists is chosen on the sample: the least that finds
-`aim` of its true neighbours.
+`aim` of its true neighbours, and for each query at least so many that they hold more than k
+vectors of the sample. The k-th nearest of the sample's vectors in the probed lists is the
+query's bound; all neighbours returned are found by the scan of the lists.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and
 vectors of another dimension than the commonest, take no part. Rows that repeat an id are
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.llm.bytewords import lean
 from loomline.llm.spool import Spool
 
 #: Rows of a list, and queries of a list, that meet in one task.
@@ -143,32 +146,33 @@ def search(vectors: DataFrame, query: Column, *, id_col: str = "vec_id", vector_
     centres = fit_centres(fitted, int(np.clip(np.sqrt(total), 1, max_lists)))
     probes = lists_to_probe(kept_out, centres, k, aim, least_probes)
     turn = rotation(dim)
-
-    kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
+    sample_home = nearest_centres(sample, centres, 1)[:, 0]
+    in_list = np.bincount(sample_home[by_id][first_of], minlength=len(centres))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row with its list; a query also with the lists it probes and a bound that the sample proves."""
+        """Each row with its list; a query also with the lists it probes and a bound that the sample's vectors in them prove."""
         for batch in batches:
             for lo in range(0, len(batch), 2048):
                 part = batch.slice(lo, 2048)
                 ids, x = part.column(0).to_numpy(), part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                 home = nearest_centres(x, centres, 1)[:, 0]
-                probed, bound, near = [None] * len(x), np.full(len(x), np.inf), [None] * len(x)
+                probed, bound = [None] * len(x), np.full(len(x), np.inf)
                 asks = np.flatnonzero(part.column(2).to_numpy(zero_copy_only=False))
                 if len(asks):
-                    for i, p in zip(asks.tolist(), nearest_centres(x[asks], centres, probes).tolist(), strict=True):
-                        probed[i] = p
-                        d = np.minimum.reduceat(((sample - x[i]) ** 2).sum(1)[by_id], first_of)  # of each id's nearest row
-                        d[names == ids[i]] = np.inf
-                        best = np.lexsort((names, d))[:k]
-                        best = best[np.isfinite(d[best])]
-                        near[i] = [{"vec_id": int(names[j]), "score": float(np.sqrt(d[j]))} for j in best]
-                        if len(best) == k:
-                            bound[i] = d[best[-1]]
+                    order = nearest_centres(x[asks], centres, len(centres))
+                    enough = (np.cumsum(in_list[order], 1) <= k).sum(1) + 1  # lists that hold k vectors beside the query's own
+                    for i, near, n in zip(asks.tolist(), order, np.clip(enough, probes, len(centres)).tolist(), strict=True):
+                        probed[i] = near[:n].tolist()
+                        looked = np.zeros(len(centres), bool)
+                        looked[near[:n]] = True
+                        d = ((sample - x[i]) ** 2).sum(1)
+                        d[~looked[sample_home] | (sample_ids == ids[i])] = np.inf
+                        d = np.minimum.reduceat(d[by_id], first_of)  # of each id's nearest row
+                        bound[i] = np.partition(d, k - 1)[k - 1] if len(d) >= k else np.inf
                 raw = pa.array([r.tobytes() for r in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), raw, pa.array(home, pa.int32()), pa.array(probed, pa.list_(pa.int32())), pa.array(bound), pa.array(near, kind)], ["id", "raw", "list", "probed", "bound", "near"])
+                yield pa.RecordBatch.from_arrays([part.column(0), raw, pa.array(home, pa.int32()), pa.array(probed, pa.list_(pa.int32())), pa.array(bound)], ["id", "raw", "list", "probed", "bound"])
 
-    indexed = Spool(spark, "ann").table("index", own.mapInArrow(assign, "id long, raw binary, list int, probed array<int>, bound double, near array<struct<vec_id:long,score:double>>"))
+    indexed = Spool(spark, "ann").table("index", own.mapInArrow(lean(assign), "id long, raw binary, list int, probed array<int>, bound double"))
     asking = indexed.where("probed is not null").select("id", "raw", "bound", F.explode("probed").alias("list"))
     # rows and queries of a list are split so that no task gets more than ROWS by QUERIES of them; at most max_lists counts come here
     splits = {r.list: [-(-r.n // ROWS), 1] for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}
@@ -189,8 +193,6 @@ def search(vectors: DataFrame, query: Column, *, id_col: str = "vec_id", vector_
 
     key = ["list", "r", "q"]
     found = asking.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    # the sample rows that a bound rests on are neighbours found, whatever list they are in
-    sure = indexed.where("probed is not null").select(F.col("id").alias("query_id"), F.inline("near"))
-    found = found.unionByName(sure).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -287,6 +287,25 @@ def test_neighbours(spark):
     assert ann.search(df.where("vec_id < 3"), F.lit(True)).count() == 6
 
 
+@pytest.mark.parametrize("sample_rows", [60, 200])
+def test_recall_with_a_small_sample(spark, sample_rows):
+    """The index is fitted on a few of the table's 2,000 vectors, and recall measured against all of them."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ids, vectors = zip(*[(r.vec_id, r.embedding) for r in table.collect()], strict=True)
+    x, ids = np.array(vectors, np.float64), np.array(ids)
+    hit = n = 0
+    got = {}
+    for r in ann.search(table, F.col("vec_id") % 100 == 0, sample_rows=sample_rows).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit, n = hit + len(set(ids[np.lexsort((ids, d))[:10]].tolist()) & got[int(ids[q])]), n + 10
+        assert len(got[int(ids[q])]) == 10
+    print(f"sample of {sample_rows}: recall {hit / n:.4f}")
+    assert hit / n >= 0.9
+
+
 @pytest.mark.parametrize("times", [2, 10])
 def test_neighbours_with_repeated_rows(spark, times):
     r = np.random.default_rng(9)
