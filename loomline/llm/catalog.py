@@ -101,10 +101,11 @@ FROM bytes LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 pair AS (SELECT doc_id, i, w[i + 1] AS x, w[i + 2] AS y FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM d WHERE len(w) > 1)),
 t(template, base, label, pairs, t, a, b) AS (VALUES {_TEMPLATES}),
-votes AS (SELECT doc_id, template, base, label, pairs, i - t AS diagonal, list(DISTINCT t) AS places, min(i) AS first FROM pair JOIN t ON x = a AND y = b GROUP BY ALL),
-step AS (SELECT *, diagonal - lag(diagonal) OVER o AS gap FROM votes WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-band AS (SELECT *, sum(CASE WHEN base OR gap IS NULL OR gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS n FROM step),
-span AS (SELECT doc_id, template, base, label, pairs, n, min(first) AS first, len(list_distinct(flatten(list(places)))) AS found FROM band GROUP BY ALL),
+hits AS (SELECT doc_id, template, base, label, pairs, i, t, i - t AS diagonal FROM pair JOIN t ON x = a AND y = b),
+step AS (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal, i) AS gap FROM hits),
+band AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > CASE WHEN base THEN 0 ELSE 2 END THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal, i) AS n FROM step),
+told AS (SELECT *, max(t) OVER (PARTITION BY doc_id, template, n ORDER BY i, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM band),
+span AS (SELECT doc_id, template, base, label, pairs, n, min(i) AS first, count(*) FILTER (before IS NULL OR t > before) AS found FROM told GROUP BY ALL),
 fit AS (SELECT *, found / pairs AS share FROM span WHERE CASE WHEN base THEN found = pairs ELSE found / pairs >= 0.85 END),
 doc AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word, max(share) AS score,
         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM fit GROUP BY doc_id)

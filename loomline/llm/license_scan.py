@@ -1,16 +1,16 @@
 """License scans by diagonal voting, with DataFrame operations only.
 
-All rolling word pairs of every whole text are joined by hash to the positions of the
-template pairs. Hits of a template at document word i and template word t lie on the
-diagonal i - t; votes are summed by diagonal, diagonals that lie next to each other
-(an inserted or left-out word or two) are merged, and a merged span counts if enough of
-the template's pairs are in it. The join compares the words as well as their hash, so a
-hit is verified as it is made.
+All rolling word k-grams of every whole text are joined by hash to the positions of the
+template k-grams. Hits of a template at document word i and template word t lie on the
+diagonal i - t; diagonals that lie next to each other (an inserted or left-out word or two)
+are merged, and the merged span is verified: its hits are gone through in the order of the
+document, and those that go on in the template count. A span is accepted if enough of the
+template's k-grams are found in order. The join compares the words as well as their hash.
 
 Defined results: null and empty texts have no words, no labels and score 0; a text of
-one word has no pairs. Repeated rows each get their own result, ties between templates
-add all their labels, extra columns are not read. The templates are a fixed table, whose
-size is checked before it is broadcast.
+fewer than k words has no k-grams. Repeated rows each get their own result, ties between
+templates add all their labels, extra columns are not read. The templates are a fixed
+table, whose size is checked before it is broadcast.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ PHRASES = {
     "apache license": "apache",
     "general public license": "gpl",
 }
-# Opening words of widespread license notices, with their labels.
+# Widespread license notices, their opening words and their whole text, with their labels.
 NOTICES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
@@ -39,10 +39,34 @@ NOTICES = {
     "licensed under cc by nc 4 0": "cc-by-nc",
     "licensed under cc by sa 4 0": "cc-by-sa",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl",
+    """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software
+    to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense
+    and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+    the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+    the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+    fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or
+    other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other
+    dealings in the software""": "mit",
+    """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy
+    of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under
+    the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the
+    specific language governing permissions and limitations under the license""": "apache",
+    """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the
+    free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it
+    will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu
+    general public license for more details""": "gpl",
+    """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+    redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in
+    binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other
+    materials provided with the distribution""": "bsd",
+    """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above
+    copyright notice and this permission notice appear in all copies""": "isc",
+    """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you
+    can obtain one at http mozilla org mpl 2 0""": "mpl",
 }
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Template pairs that may be broadcast, about 1 MB.
-MOST_PAIRS = 20_000
+#: Template k-grams that may be broadcast, about 1 MB.
+MOST_GRAMS = 20_000
 
 
 def words_of(text: Column) -> Column:
@@ -51,48 +75,53 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(plain), F.lit(WORDS), 0)
 
 
-def templates(docs: DataFrame, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
+def templates(docs: DataFrame, phrases: dict[str, str], notices: dict[str, str], k: int) -> DataFrame:
+    """A row a k-gram: template, whether it is a base phrase, label, k-grams of the template, place, words and their hash."""
     rows = []
     for n, (phrase, label) in enumerate([*phrases.items(), *notices.items()]):
         words = re.findall(WORDS, phrase)
-        if len(words) < 2:
-            raise ValueError(f"a template needs two words: {phrase!r}")
-        rows += [(n, n < len(phrases), label, len(words) - 1, t, a, b) for t, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    if len(rows) > MOST_PAIRS:
-        raise ValueError(f"{len(rows)} template pairs; at most {MOST_PAIRS} are broadcast")
-    return docs.sparkSession.createDataFrame(rows, "template int, base boolean, label string, pairs int, t int, a string, b string").withColumn("h", F.xxhash64("a", "b"))
+        if len(words) < k:
+            raise ValueError(f"a template needs {k} words: {phrase!r}")
+        rows += [(n, n < len(phrases), label, len(words) - k + 1, t, *words[t : t + k]) for t in range(len(words) - k + 1)]
+    if len(rows) > MOST_GRAMS:
+        raise ValueError(f"{len(rows)} template k-grams; at most {MOST_GRAMS} are broadcast")
+    own = [f"t{j}" for j in range(k)]
+    return docs.sparkSession.createDataFrame(rows, "template int, base boolean, label string, grams int, t int, " + ", ".join(f"{c} string" for c in own)).withColumn("h", F.xxhash64(*own))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, near: int = 2, enough: float = 0.85) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, k: int = 2, near: int = 2, enough: float = 0.85) -> DataFrame:
     """One row a document row: n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    spans holds each accepted span as (label, first word, last word, share of the template).
-    One shuffle, of the hits and one row a document; the texts stay where they are read.
+    k: words of a k-gram, at most those of the shortest template. spans holds each accepted
+    span as (label, first word, last word, share of the template). One shuffle, of the hits
+    and one row a document; the texts stay where they are read.
     """
     own = docs.select(docs[id_col].alias("id"), F.monotonically_increasing_id().alias("row"), words_of(docs[text_col]).alias("words"))
     # place -1 stands for the document itself: it meets no template and is always kept
     places = own.select("id", "row", F.size("words").cast("bigint").alias("n_words"), "words", F.explode(F.expr("sequence(-1, size(words) - 1)")).alias("i"))
-    after = F.get("words", F.col("i") + 1)
-    pairs = places.select("id", "row", "n_words", "i", F.when(F.col("i") >= 0, F.get("words", F.col("i"))).alias("x"), F.when(F.col("i") >= 0, after).alias("y"))
-    pairs = pairs.withColumn("key", F.when(F.col("y").isNotNull(), F.xxhash64("x", "y")))
-    table = F.broadcast(templates(docs, phrases, notices))
-    hits = pairs.join(table, (pairs.key == table.h) & (pairs.x == table.a) & (pairs.y == table.b), "left").where("i = -1 or template is not null")
-    hits = hits.select("id", "row", "n_words", "i", "template", "base", "label", "pairs", "t", (F.col("i") - F.col("t")).alias("diagonal"))
-
-    each = ["id", "row", "n_words", "template", "base", "label", "pairs"]
-    # votes by diagonal, summed before the shuffle
+    said = [f"w{j}" for j in range(k)]
+    grams = places.select("id", "row", "n_words", "i", *[F.when(F.col("i") >= 0, F.get("words", F.col("i") + j)).alias(c) for j, c in enumerate(said)])
+    grams = grams.withColumn("key", F.when(F.col(said[-1]).isNotNull(), F.xxhash64(*said)))
+    table = F.broadcast(templates(docs, phrases, notices, k))
+    same = grams.key == table.h
+    for j, c in enumerate(said):
+        same &= grams[c] == table[f"t{j}"]
+    hits = grams.join(table, same, "left").where("i = -1 or template is not null")
+    hits = hits.select("id", "row", "n_words", "i", "template", "base", "label", "grams", "t", (F.col("i") - F.col("t")).alias("diagonal"))
     hits = hits.repartition("row")  # one document's hits meet here, and all that follows stays there
-    votes = hits.groupBy(*each, "diagonal").agg(F.collect_set("t").alias("at"), F.min("i").alias("first"), F.max("i").alias("last"))
-    along = Window.partitionBy("row", "id", "n_words", "template", "base", "label", "pairs").orderBy("diagonal")
+
+    each = ["row", "id", "n_words", "template", "base", "label", "grams"]
+    along = Window.partitionBy(*each).orderBy("diagonal", "i")
     step = F.col("diagonal") - F.lag("diagonal").over(along)
-    apart = F.when(F.col("base") | step.isNull() | (step > near), 1).otherwise(0)
-    merged = votes.withColumn("apart", apart).withColumn("band", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy(*each, "band").agg(
-        F.min("first").alias("first"), (F.max("last") + 1).alias("last"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("found"),
+    apart = F.when(step.isNull() | F.when(F.col("base"), step > 0).otherwise(step > near), 1).otherwise(0)
+    merged = hits.withColumn("apart", apart).withColumn("band", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.max("t").over(Window.partitionBy(*each, "band").orderBy("i", "t").rowsBetween(Window.unboundedPreceding, -1))
+    verified = merged.withColumn("goes_on", before.isNull() | (F.col("t") > before))
+    spans = verified.groupBy(*each, "band").agg(
+        F.min("i").alias("first"), (F.max("i") + k - 1).alias("last"), F.count(F.when(F.col("goes_on"), 1)).alias("found"),
     )
-    share = F.col("found") / F.col("pairs")
-    fits = F.col("template").isNotNull() & F.when(F.col("base"), F.col("found") == F.col("pairs")).otherwise(share >= enough)
+    share = F.col("found") / F.col("grams")
+    fits = F.col("template").isNotNull() & F.when(F.col("base"), F.col("found") == F.col("grams")).otherwise(share >= enough)
     is_base = fits & F.col("base")
     joined = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
     return spans.groupBy("row", "id", "n_words").agg(

@@ -178,6 +178,24 @@ def test_licenses(spark):
     assert license_scan.scan(twice.unionByName(twice)).count() == 2
 
 
+def test_license_texts_in_order(spark):
+    """Whole notices with changes are found by their order; the same words in another order, or a part of them, aren't."""
+    rng = np.random.default_rng(4)
+    notice, label = max(license_scan.NOTICES.items(), key=lambda x: len(x[0]))
+    w = re.findall(license_scan.WORDS, notice)
+    changed = [x for x in w if rng.random() > 0.03]
+    mixed = [w[k : k + 2] for k in range(0, len(w), 2)]
+    texts = [" ".join(w), "so it is " + " ".join(changed) + " in the end", " ".join(x for p in rng.permutation(len(mixed)) for x in mixed[p]), " ".join(w[: len(w) // 2]), "the license " * 30000 + " ".join(w)]
+    only = {notice: label}
+    for k in (2, 4):
+        base = license_scan.PHRASES if k == 2 else {}
+        got = {r.doc_id: r for r in license_scan.scan(frame(spark, texts), k=k, phrases=base, notices=only, enough=0.7).collect()}
+        assert [bool(got[i].spans) for i in range(5)] == [True, True, False, False, True]
+        assert min(got[0].score, got[4].score) > 0.99 and 0.7 <= got[1].score < got[0].score and got[4].spans[0].first == 60000 and got[4].spans[0].last == 60000 + len(w) - 1
+    with pytest.raises(ValueError):
+        license_scan.scan(frame(spark, texts), k=3)
+
+
 def test_digest_queries(spark):
     from loomline.llm import catalog
 
