@@ -170,9 +170,9 @@ def arrival_order(spark, sf_dir):
     return Q.arrival_order(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), ["s_suppkey"])
 
 
-@query("SELECT doc_id, md5(strip_accents(text)) AS folded FROM documents WHERE lang IN ('fr', 'es')")
+@query("SELECT doc_id, md5(strip_accents(text)) AS folded FROM documents")
 def strip_accents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang IN ('fr', 'es')").select("doc_id", F.md5(C.strip_accents(F.col("text"))).alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(C.strip_accents(F.col("text"))).alias("folded"))
 
 
 @query("SELECT event_id, TRY_CAST(raw AS INTEGER) AS n FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN ' ' || CAST(event_id AS VARCHAR) ELSE NULL END AS raw FROM events) WHERE raw IS NOT NULL")
@@ -292,24 +292,78 @@ def procedure_flags(spark, sf_dir):
     return found.select("filename", "statement_id", "statement", F.col("is_control_procedure").cast("int").alias("control"))
 
 
+_CUSTOMER_SCRIPT = """-- JOB : @C{k} of 01/02/2024
+INSERT INTO TGT{k} (K, N) SELECT A.K, A.N || '--x' FROM DW.SRC{n} A JOIN DW.REF B ON A.K = B.K WHERE A.SEG = 'it''s; {s}';
+/* loose
+words */
+MERGE {k}
+"""
+
+
+def _customer_scripts(spark, sf_dir):
+    """A script a customer, with comment signs and a semicolon inside its literals."""
+    text = F.lit(_CUSTOMER_SCRIPT)
+    for sign, column in (("{k}", "c_custkey"), ("{n}", "c_nationkey"), ("{s}", "c_mktsegment")):
+        text = F.replace(text, F.lit(sign), F.col(column).cast("string"))
+    return table(spark, sf_dir, "customer").select(F.lit("/c").alias("filename_path"), F.concat(F.col("c_custkey").cast("string"), F.lit(".sql")).alias("filename"), text.alias("script"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) || '.sql' AS filename, 2 AS q_lines_script, 1 AS q_lines_no_coverage, CAST(50 AS DOUBLE) AS share, 'MERGE ' || CAST(c_custkey AS VARCHAR) AS remainder, 2 AS q_comments FROM customer")
+def script_coverage(spark, sf_dir):
+    """What no statement covers, in lines, of a script a customer."""
+    scripts = _customer_scripts(spark, sf_dir)
+    rest = lineage.remainder(scripts, lineage.statements(scripts))
+    n = lineage.comments(scripts).groupBy("filename").agg(F.count("*").cast("int").alias("q_comments"))
+    covered = lineage.line_coverage(scripts, rest).withColumnRenamed("%_lines_coverage", "share").join(rest.select("filename", "remainder"), "filename")
+    return covered.join(n, "filename").drop("filename_path")
+
+
+_CUSTOMER_ROWS = [
+    f"SELECT c_custkey, '{clause}' AS clause, {source} AS t, '{field}' AS f, {output} AS o, {text} AS x FROM customer"
+    for clause, source, field, output, text in (
+        ("select", "'SRC' || c_nationkey", "K", "'K'", "'A.K'"), ("select", "'SRC' || c_nationkey", "N", "'N'", "'A.N || ''--x'''"),
+        ("join_on", "'SRC' || c_nationkey", "K", "NULL", "'A.K = B.K'"), ("join_on", "'REF'", "K", "NULL", "'A.K = B.K'"),
+        ("where", "'SRC' || c_nationkey", "SEG", "NULL", "'A.SEG = ''it''''s; ' || c_mktsegment || ''''"),
+    )
+]
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) || '.sql' AS filename, '@C' || c_custkey AS job_code, clause, t AS input_table_name, f AS input_field, 'TGT' || c_custkey AS output_table, o AS output_field_alias, x AS expression_sql FROM ({' UNION ALL '.join(_CUSTOMER_ROWS)})")
+def script_mappings(spark, sf_dir):
+    """The mapping rows of a script a customer: projection, join and filter of an INSERT."""
+    scripts = _customer_scripts(spark, sf_dir)
+    done = lineage.mapped(lineage.analysed(lineage.statements(scripts)))
+    rows = lineage.field_mapping(done, lineage.script_codes(lineage.comments(scripts)))
+    return rows.select("filename", "job_code", "clause", "input_table_name", "input_field", "output_table", "output_field_alias", "expression_sql")
+
+
 # -- closure -----------------------------------------------------------------------------------
 
-#: Suppliers' parts by brand as files: region -> nation -> supplier -> part kind.
+#: Suppliers' parts by brand as files: region -> nation -> supplier -> part kind, with short cuts from regions to suppliers and nations to brands.
 _EDGE_SQL = """(SELECT DISTINCT 'f' || CAST(n_regionkey % 2 AS VARCHAR) AS filename, 'R' || CAST(n_regionkey AS VARCHAR) AS source, 'N' || CAST(n_nationkey AS VARCHAR) AS target FROM nation
 UNION SELECT 'f' || CAST(n_regionkey % 2 AS VARCHAR), 'N' || CAST(n_nationkey AS VARCHAR), 'S' || CAST(s_suppkey AS VARCHAR) FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION SELECT 'f' || CAST(n_regionkey % 2 AS VARCHAR), 'S' || CAST(l_suppkey AS VARCHAR), 'B' || p_brand FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity > 45)"""
+UNION SELECT 'f' || CAST(n_regionkey % 2 AS VARCHAR), 'S' || CAST(l_suppkey AS VARCHAR), 'B' || p_brand FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+UNION SELECT 'f' || CAST(n_regionkey % 2 AS VARCHAR), 'R' || CAST(n_regionkey AS VARCHAR), 'S' || CAST(s_suppkey AS VARCHAR) FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION SELECT 'f' || CAST(n_regionkey % 2 AS VARCHAR), 'N' || CAST(n_nationkey AS VARCHAR), 'B' || p_brand FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"""
 
 
 def _edges(spark, sf_dir):
     nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     file = F.concat(F.lit("f"), (F.col("n_regionkey") % 2).cast("string")).alias("filename")
-    sold = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_suppkey", "l_partkey").distinct()
+    sold = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     up = nation.select(file, name("R", "n_regionkey").alias("source"), name("N", "n_nationkey").alias("target"))
     mid = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     brands = sold.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_brand").distinct()
-    down = brands.join(mid, F.col("l_suppkey") == F.col("s_suppkey")).select(file, name("S", "l_suppkey").alias("source"), name("B", "p_brand").alias("target"))
-    return up.unionByName(mid.select(file, name("N", "n_nationkey").alias("source"), name("S", "s_suppkey").alias("target"))).unionByName(down).distinct()
+    made = brands.join(mid, F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = [
+        (mid, name("N", "n_nationkey"), name("S", "s_suppkey")), (made, name("S", "l_suppkey"), name("B", "p_brand")),
+        (mid, name("R", "n_regionkey"), name("S", "s_suppkey")), (made, name("N", "n_nationkey"), name("B", "p_brand")),
+    ]
+    out = up
+    for rows, source, target in edges:
+        out = out.unionByName(rows.select(file, source.alias("source"), target.alias("target")))
+    return out.distinct()
 
 
 @query(f"SELECT * FROM {_EDGE_SQL} e")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -14,12 +14,18 @@ from loomline.functions.columns import is_control, job_code, modified, percent,
 from loomline.sqlfront.mappers import MAPPERS, map_statement
 from loomline.sqlfront.splitter import split, strip_comments
 
-COMMENTS = r"--[^\n]*|(?s:/\*.*?\*/)"
+#: A literal (group 1) or a comment (group 2), whichever comes first: what splitter.strip_comments tells apart, as a column.
+_LITERAL_OR_COMMENT = r"('(?:[^']++|'')*+')|(--[^\n]*|(?s:/\*.*?\*/))"
+
+
+def without_comments(script: str | Column) -> Column:
+    """The script without its comments; comment signs inside quotes stay."""
+    return F.regexp_replace(script, _LITERAL_OR_COMMENT, "$1")
 
 
 def comments(scripts: DataFrame) -> DataFrame:
     """One row a comment, with its position, job code and date; scripts without comments give none."""
-    found = F.regexp_extract_all("script", F.lit(f"({COMMENTS})"), 1)
+    found = F.filter(F.regexp_extract_all("script", F.lit(_LITERAL_OR_COMMENT), 2), lambda x: x != "")
     rows = scripts.select("filename", F.posexplode(found).alias("comment_id", "comment"))
     return rows.select("filename", job_code(F.col("comment")).alias("job_code"), modified(F.col("comment")).alias("last_modif_date"), F.col("comment_id").cast("int").alias("comment_id"), "comment")
 
@@ -116,23 +122,23 @@ def procedures(rows: DataFrame) -> DataFrame:
 def remainder(scripts: DataFrame, rows: DataFrame) -> DataFrame:
     """Scripts without comments and top-level statements, blank lines and margins: what no statement covers."""
     top = rows.where("parent_statement_id is null").groupBy("filename_path", "filename").agg(F.transform(F.array_sort(F.collect_list(F.struct("statement_id", "raw_statement"))), lambda s: s["raw_statement"]).alias("found"))
-    bare = scripts.withColumn("script", F.regexp_replace("script", COMMENTS, "")).join(top, ["filename_path", "filename"], "left")
+    bare = scripts.withColumn("script", without_comments("script")).join(top, ["filename_path", "filename"], "left")
     rest = F.aggregate(F.coalesce("found", F.array().cast("array<string>")), F.col("script"), lambda text, s: F.replace(text, s, F.lit("")))
     lines = F.filter(F.transform(F.split(rest, "\n"), F.trim), lambda x: x != "")
     return bare.select("filename_path", "filename", F.array_join(lines, "\n").alias("remainder"))
 
 
 def annotated(scripts: DataFrame, rows: DataFrame, mark: str = "loomline") -> DataFrame:
-    """Scripts with a line before and after each analysed statement that tells its number."""
+    """Scripts without comments, with a line before and after each analysed statement that tells its number."""
     marked = rows.where("flag_to_analyze = 1").groupBy("filename_path", "filename").agg(F.array_sort(F.collect_list(F.struct("statement_id", "raw_statement", F.col("parent_statement_id").alias("parent")))).alias("found"))
     label = lambda s, w: F.concat(F.lit(f"-- [{mark}] "), F.when(s["parent"].isNotNull(), F.concat(F.lit("Parent Statement ID: "), s["parent"].cast("string"), F.lit(", "))).otherwise(""), F.lit("Statement ID: "), s["statement_id"].cast("string"), F.lit(f" {w}"))
-    text = F.aggregate(F.coalesce("found", F.array().cast("array<struct<statement_id:int,raw_statement:string,parent:int>>")), F.col("script"), lambda t, s: F.replace(t, s["raw_statement"], F.concat(label(s, "begin"), F.lit("\n"), s["raw_statement"], F.lit("\n"), label(s, "end"))))
+    text = F.aggregate(F.coalesce("found", F.array().cast("array<struct<statement_id:int,raw_statement:string,parent:int>>")), without_comments("script"), lambda t, s: F.replace(t, s["raw_statement"], F.concat(label(s, "begin"), F.lit("\n"), s["raw_statement"], F.lit("\n"), label(s, "end"))))
     return scripts.join(marked, ["filename_path", "filename"], "left").select("filename_path", "filename", text.alias("annotated"))
 
 
 def line_coverage(scripts: DataFrame, rest: DataFrame) -> DataFrame:
     count = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(F.col(c), "\n")))
-    filled = F.array_join(F.filter(F.transform(F.split(F.regexp_replace("script", COMMENTS, ""), "\n"), F.trim), lambda x: x != ""), "\n")
+    filled = F.array_join(F.filter(F.transform(F.split(without_comments("script"), "\n"), F.trim), lambda x: x != ""), "\n")
     both = scripts.withColumn("filled", filled).join(rest, ["filename_path", "filename"])
     both = both.select("filename_path", "filename", count("filled").alias("q_lines_script"), count("remainder").alias("q_lines_no_coverage"))
     return both.withColumn("%_lines_coverage", percent(F.col("q_lines_script") - F.col("q_lines_no_coverage"), F.col("q_lines_script")))

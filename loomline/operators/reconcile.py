@@ -69,8 +69,12 @@ def observation(actual: Column, expected: Column, warning: Column) -> Column:
 
 
 def check_fixed(fields: DataFrame, controls: DataFrame, field: str = "CAMPO_FISICO", domain: str = "PARENT_DOMAIN") -> DataFrame:
-    """Every field with its guideline, and for fixed controls what the field's domain should be."""
-    fixed = controls.where(F.col("LINEAMIENTO") == FIXED).dropDuplicates(["CONTROL"])
+    """Every field with its guideline, and for fixed controls what the field's domain should be.
+
+    Controls that are equal in all they say count once; a field meets every other control of its
+    name in any case, one row each.
+    """
+    fixed = controls.where(F.col("LINEAMIENTO") == FIXED).select("CONTROL", "PARENT_DOMAIN", "WARNING_PARENT_DOMAIN").distinct()
     c = fixed.select(F.col("CONTROL").alias("C_CONTROL"), F.col("PARENT_DOMAIN").alias("C_DOMAIN"), F.col("WARNING_PARENT_DOMAIN").alias("C_WARNING"))
     out = fields.join(c, F.upper(field) == F.upper("C_CONTROL"), "left")
     out = out.withColumn("LINEAMIENTO", F.when(F.col("C_CONTROL").isNotNull(), FIXED).otherwise(PREFIX)).withColumn("CONTROL", F.col("C_CONTROL"))
@@ -90,7 +94,7 @@ def check_prefix(fields: DataFrame, controls: DataFrame, field: str = "CAMPO_FIS
 
     One equality join on each length a prefix may have, so that no field meets all prefixes.
     """
-    prefixes = controls.where((F.col("LINEAMIENTO") == PREFIX) & (F.length("CONTROL") > 0)).withColumn("P", F.upper("CONTROL")).dropDuplicates(["P"])
+    prefixes = controls.where((F.col("LINEAMIENTO") == PREFIX) & (F.length("CONTROL") > 0)).groupBy(F.upper("CONTROL").alias("P")).agg(F.min(F.struct("CONTROL", "PARENT_DOMAIN", "WARNING_PARENT_DOMAIN")).alias("c")).select("P", "c.*")
     p = prefixes.select("P", F.col("CONTROL").alias("P_CONTROL"), F.col("PARENT_DOMAIN").alias("P_DOMAIN"), F.col("WARNING_PARENT_DOMAIN").alias("P_WARNING"))
     lengths = prefix_lengths(controls)
     name = F.upper(F.col(field))

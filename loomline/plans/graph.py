@@ -9,12 +9,13 @@ is entered. Without, a node that has been reached isn't followed again.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.session import checkpoint_dir
+
 MAX_DEPTH = 100
 
 
@@ -22,7 +23,7 @@ def durable(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: long loops neither grow the plan nor lose data with an executor."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/loomline-checkpoints")
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
 
 

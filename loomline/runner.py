@@ -164,4 +164,6 @@ def reconcile(spark: SparkSession, p: Parameters) -> dict[str, DataFrame]:
     reports.write_report(report, checks, os.path.join(folder, name), out["summary"], out.get("changes"), hints)
     reports.rotate(folder, p.report_prefix, p.keep_reports)
     reports.closing(out["summary"])
+    report.unpersist()
+    model.unpersist()
     return out | hints

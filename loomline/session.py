@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import tempfile
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -24,6 +25,16 @@ def session(name: str = "loomline", **more: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | more).getOrCreate()
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names; only a session on one machine (tests) may leave it unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/loomline-checkpoints"
+
+
 @contextmanager
 def timed(what: str, log: logging.Logger | None = None) -> Iterator[dict]:
     """Logs how long the block took; the dict gets it as `seconds`."""

@@ -9,16 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PATTERN = "*.[sS][qQ][lL]"
-#: Folders of the engine's own side files.
+#: Folders of the engine's own side files, right below the one that is read.
 OWN_FOLDERS = ("remain", "analysis")
 SCHEMA = "filename_path string, filename string, script string"
 
 
-def _named(files: DataFrame) -> DataFrame:
+def _qualified(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+
+
+def _named(files: DataFrame, root: str) -> DataFrame:
     """Bytes that are no UTF-8 are left out of the text."""
     name = F.element_at(F.split("path", "/"), -1)
     text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
-    own = F.col("path").rlike(rf"/(?:{'|'.join(OWN_FOLDERS)})/[^/]*$")
+    own = F.lit(False)
+    for folder in OWN_FOLDERS:
+        own |= F.startswith(F.col("path"), F.lit(f"{root}/{folder}/"))
     return files.where(~own).select(F.regexp_replace("path", "/[^/]*$", "").alias("filename_path"), name.alias("filename"), text.alias("script"))
 
 
@@ -33,13 +40,13 @@ def read_scripts(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.format("binaryFile")
     if files.getFileStatus(at).isDirectory():
         reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", PATTERN)
-    return _named(reader.load(path))
+    return _named(reader.load(path), _qualified(spark, path))
 
 
 def stream_scripts(spark: SparkSession, folder: str) -> DataFrame:
     """The same rows as a stream: a file counts when it appears in the folder."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    return _named(spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", PATTERN).load(folder))
+    return _named(spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", PATTERN).load(folder), _qualified(spark, folder))
 
 
 def find_folder(parent: str, name: str) -> str | None:

@@ -243,7 +243,7 @@ def _rows(select: Select, output: str | None, columns_out: list[str], queries: d
                     "input_object_type": table_type(full), "input_schema_path": schema_name(full), "input_table_name": table_name(full), "input_subquery_sql": queries.get(table_name(full)),
                     "input_table_alias": alias, "input_field": column, "output_object_type": table_type(output), "output_schema_path": schema_name(output),
                     "output_table": table_name(output), "output_subquery_sql": queries.get(table_name(output)), "output_field_alias": name, "expression_sql": text, "clause": clause,
-                    "filter_expression_sql": where_sql if clause == "where" else None,
+                    "filter_expression_sql": None if clause != "where" or where_sql is None else where_sql if column in text else where_sql.replace("WHERE ", ""),
                 }
             )
     return rows
