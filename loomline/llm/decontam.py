@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.bytewords import Words, pieces, text_bytes
-from loomline.llm.spool import Spool
+from loomline.llm.bytewords import Words, lean, pieces, release, text_bytes
+from loomline.llm.spool import Spool, small_batches
 
 WINDOW = 13
 #: Bytes of test text that one scan of the documents is held against.
@@ -139,14 +139,15 @@ def find(test: TestSet, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[TestSet]:
+    """The test items in blocks of bounded size; the driver holds one of them, and the rows of one partition, at a time."""
     ids, texts, size = [], [], 0
     for r in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
-        ids.append("null" if r[0] is None else r[0])
-        texts.append(r[1])
-        size += len(r[1] or "")
         if size > BLOCK_BYTES:
             yield TestSet(ids, texts, window)
             ids, texts, size = [], [], 0
+        ids.append("null" if r[0] is None else r[0])
+        texts.append(r[1])
+        size += len(r[1] or "")
     yield TestSet(ids, texts, window)
 
 
@@ -182,7 +183,7 @@ def _scan(test: TestSet, key_type: pa.DataType):
                     ["id", "n_words", "spans", "matches"],
                 )
 
-    return run
+    return lean(run)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -194,17 +195,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, matches array<struct<item_id:string,start:bigint,n_words:bigint>>"
     shown = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    blocks = list(_blocks(benchmark, item_col, item_text_col, window))
-    if len(blocks) == 1:
-        found = shown.mapInArrow(_scan(blocks[0], None), schema)
+    small_batches(docs.sparkSession)
+    blocks = _blocks(benchmark, item_col, item_text_col, window)
+    test, more = next(blocks), next(blocks, None)
+    if more is None:
+        found = shown.mapInArrow(_scan(test, None), schema)
     else:
         spool = Spool(docs.sparkSession, "decontam")
         shown = spool.table("rows", shown.withColumn("row", F.monotonically_increasing_id()))
         keyed = shown.select(F.struct("id", "row").alias("id"), "text")
-        found = None
-        for test in blocks:
-            one = keyed.mapInArrow(_scan(test, None), schema.replace(f"id {kind}", f"id struct<id:{kind},row:bigint>"))
-            found = one if found is None else found.unionByName(one)
+        one = lambda test, n: spool.table(f"block{n}", keyed.mapInArrow(_scan(test, None), schema.replace(f"id {kind}", f"id struct<id:{kind},row:bigint>")))
+        found, n = one(test, 0), 0
+        while more is not None:  # of every other block only rows that it hits are kept
+            n += 1
+            found, more = found.unionByName(one(more, n).where(F.size("matches") > 0)), next(blocks, None)
         found = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
         merged = F.aggregate(
             F.array_sort("spans"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
@@ -217,27 +221,32 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns.
+    """The rows of docs that aren't contaminated, with all their columns; every row is judged by its own text.
 
     Against one block of test text the rows are judged where they are read; against more,
-    the judgement of all blocks comes back by id, and rows without one stay.
+    they are written with a number of their own, by which the judgement of all blocks comes back.
     """
-    blocks = list(_blocks(benchmark, item_col, item_text_col, window))
-    if len(blocks) > 1:
-        found = scan(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, window=window)
-        return docs.join(found.where("contaminated").select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
-    test, at = blocks[0], docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.ones(len(batch), bool)
-            for lo, _, b, o in pieces(*text_bytes(batch.column(at)), 1 << 22):
+    small_batches(docs.sparkSession)
+    blocks = _blocks(benchmark, item_col, item_text_col, window)
+    test = next(blocks)
+    if next(blocks, None) is not None:
+        row = "_".join(["row", *docs.columns])  # the name of no column
+        numbered = Spool(docs.sparkSession, "decontam").table("docs", docs.withColumn(row, F.monotonically_increasing_id()))
+        found = scan(numbered, benchmark, id_col=row, text_col=text_col, item_col=item_col, item_text_col=item_text_col, window=window)
+        return numbered.join(found.where("contaminated").select(row), row, "left_anti").select(*[numbered[c] for c in docs.columns])
+
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            keep = np.ones(len(text), bool)
+            for lo, _, b, o in pieces(*text_bytes(text), 1 << 22):
                 words = Words(b, o)
                 p, _, n = find(test, words)
                 doc = np.searchsorted(words.off, p, "right") - 1
                 for d in np.unique(doc).tolist():
                     hit = sum(e - s for s, e in _union(p[doc == d], p[doc == d] + n[doc == d]))
                     keep[lo + d] = 20 * hit < words.off[d + 1] - words.off[d]
-            yield batch.filter(pa.array(keep))
+            yield pa.array(keep)
+        release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(docs[text_col].cast("string")))

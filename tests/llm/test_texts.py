@@ -124,6 +124,19 @@ def test_decontamination(spark, monkeypatch, block):
     assert (none.n_words, none.n_hit, none.contaminated) == (2, 0, False)
 
 
+@pytest.mark.parametrize("block", [4_000_000, 60])
+def test_contaminated_rows_go_one_by_one(spark, monkeypatch, block):
+    """Repeated and null ids: each row is judged by its own text, whatever the number of blocks."""
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    item, other = (" ".join(f"{x}{i}" for i in range(30)) for x in ("word", "other"))
+    items = spark.createDataFrame([(1, item), (2, "some more text of another item"), (3, item + " on"), (None, None)], "item_id int, text string")
+    rows = [(1, item), (1, other), (None, item), (None, other), (2, other), (2, other), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "a", "b", "c", "d") for i, t in rows], TEXTS.replace("id bigint", "doc_id bigint"))
+    got = decontam.without_contaminated(docs, items)
+    assert got.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(str(x) for x in rows if x[1] != item)
+
+
 def test_main_text(spark):
     page = """<html><head><title>T</title><script>var a="</p>";</script><style>p{}</style></head><body><header>Site head</header><nav><a href="/">Home</a></nav>
     <div class="ad">Buy this, now, really, it is cheap.</div><div id="cookie-notice">We use cookies, many of them, on this page.</div>
