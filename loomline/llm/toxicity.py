@@ -2,9 +2,10 @@
 
 A numpy logistic model over the presence of words and word beginnings is trained with
 the class-prior-corrected risk  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),
-where confirmed toxic rows are the positives and the unlabelled texts are drawn from all
-documents that aren't held out, whatever `labels` says of them: a label of 0 is never used
-as a negative. The prior is the share of toxic rows among the labelled ones, unless it is
+where confirmed toxic rows are the positives and the unlabelled texts are drawn from the
+rows that `labels` covers, whatever it says of them: a label of 0 is never used as a
+negative. (Drawn from all documents they reject clean ones, see the README: the prior
+must be that of the sample.) The prior is the share of toxic rows among the labelled ones, unless it is
 given. The fit takes a bounded sample (`max_rows`, a third of it positives, chosen by a
 hash of the id); everything it then scores, it scores whole.
 
@@ -131,11 +132,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rate = known.agg(F.avg("y"), F.count("*")).first()
     if not rate[1] or not rate[0]:
         return Model(np.empty(0, np.uint64), np.empty(0), -50.0)
-    # the positives, and apart from them documents whose label isn't looked at; both in the order of a hash
+    # the positives, and apart from them rows whose label isn't looked at; both in the order of a hash
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     first = lambda rows, n, name: rows.orderBy(F.xxhash64("id"), "id").limit(n).distinct().select("id", F.lit(1).alias(name))
     positives = first(known.where("y = 1").select("id"), max_rows // 3, "p")
-    chosen = positives.join(first(texts.where(learns(F.col("id"))).select("id"), max_rows - max_rows // 3, "u"), "id", "full").na.fill(0, ["p", "u"])
+    chosen = positives.join(first(known.select("id"), max_rows - max_rows // 3, "u"), "id", "full").na.fill(0, ["p", "u"])
     sample = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("p").alias("p"), F.max("u").alias("u")).repartition(workers, "id").select("text", "p", "u")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
