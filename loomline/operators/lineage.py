@@ -124,7 +124,7 @@ def remainder(scripts: DataFrame, rows: DataFrame) -> DataFrame:
     top = rows.where("parent_statement_id is null").groupBy("filename_path", "filename").agg(F.transform(F.array_sort(F.collect_list(F.struct("statement_id", "raw_statement"))), lambda s: s["raw_statement"]).alias("found"))
     bare = scripts.withColumn("script", without_comments("script")).join(top, ["filename_path", "filename"], "left")
     rest = F.aggregate(F.coalesce("found", F.array().cast("array<string>")), F.col("script"), lambda text, s: F.replace(text, s, F.lit("")))
-    lines = F.filter(F.transform(F.split(rest, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(rest, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return bare.select("filename_path", "filename", F.array_join(lines, "\n").alias("remainder"))
 
 
@@ -138,7 +138,7 @@ def annotated(scripts: DataFrame, rows: DataFrame, mark: str = "loomline") -> Da
 
 def line_coverage(scripts: DataFrame, rest: DataFrame) -> DataFrame:
     count = lambda c: F.when(F.col(c) == "", 0).otherwise(F.size(F.split(F.col(c), "\n")))
-    filled = F.array_join(F.filter(F.transform(F.split(without_comments("script"), "\n"), F.trim), lambda x: x != ""), "\n")
+    filled = F.array_join(F.filter(F.transform(F.split(without_comments("script"), "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
     both = scripts.withColumn("filled", filled).join(rest, ["filename_path", "filename"])
     both = both.select("filename_path", "filename", count("filled").alias("q_lines_script"), count("remainder").alias("q_lines_no_coverage"))
     return both.withColumn("%_lines_coverage", percent(F.col("q_lines_script") - F.col("q_lines_no_coverage"), F.col("q_lines_script")))
