@@ -22,24 +22,13 @@ LEAST_ROWS = 10
 BLOCK_ROWS = 2048
 
 
-def cosine(a, b):
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return dot / (norm(a) * norm(b))
+def similar_pairs(names: DataFrame, id_col: str, vector_col: str, threshold: float = 0.85) -> DataFrame:
+    """(a, b, similarity) of pairs a < b above the threshold, and what they are called.
 
-
-def similar_pairs(names: DataFrame, id_col: str, vector_col: str, threshold: float = 0.85, block_col: str | None = None) -> DataFrame:
-    """(a, b, similarity) of pairs a < b above the threshold, and what they are called. block_col: only pairs within a block.
-
-    Without a block every pair is measured, as the definition asks for, in blocks of rows
-    against blocks of rows. Vectors that are null, zero or hold nulls are in no pair.
+    Every pair is measured, as the definition asks for, in blocks of rows against blocks of
+    rows. Vectors that are null, zero or hold nulls are in no pair.
     """
-    if not block_col:
-        return _named(_all_pairs(names, id_col, vector_col, threshold))
-    a = names.select(F.col(id_col).alias("a"), F.col(vector_col).alias("va"), F.col(block_col).alias("ba"))
-    b = names.select(F.col(id_col).alias("b"), F.col(vector_col).alias("vb"), F.col(block_col).alias("bb"))
-    on = (F.col("a") < F.col("b")) & (F.col("ba") == F.col("bb"))
-    return _named(a.join(b, on).withColumn("similarity", cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") > threshold))
+    return _named(_all_pairs(names, id_col, vector_col, threshold))
 
 
 def _all_pairs(names: DataFrame, id_col: str, vector_col: str, threshold: float) -> DataFrame:
@@ -96,14 +85,12 @@ def close_names(names: DataFrame, column: str, known: DataFrame, known_column: s
     return names.select(column).distinct().mapInPandas(run, "name string, suggestion string, ratio double, place int, confidence string")
 
 
-def close_by_edits(names: DataFrame, column: str, known: DataFrame, known_column: str, cutoff: float = 0.7, most: int = 3, alike: int = 0) -> DataFrame:
-    """The same by edit distance, with built-in functions, between all names whose lengths allow the ratio; only those whose first `alike` characters are equal, if asked for."""
+def close_by_edits(names: DataFrame, column: str, known: DataFrame, known_column: str, cutoff: float = 0.7, most: int = 3) -> DataFrame:
+    """The same by edit distance, with built-in functions, between all names whose lengths allow the ratio."""
     a = names.select(F.col(column).alias("name")).distinct()
     b = known.select(F.col(known_column).alias("suggestion")).distinct()
     size = [F.length("name"), F.length("suggestion")]
     on = F.least(*size) >= (cutoff - 1e-6) * F.greatest(*size)
-    if alike:
-        on = on & (F.substring("name", 1, alike) == F.substring("suggestion", 1, alike))
     ratio = 1 - F.levenshtein("name", "suggestion") / F.greatest(F.length("name"), F.length("suggestion"))
     out = a.join(b, on).where("name <> suggestion").withColumn("ratio", F.round(ratio, 6)).where(F.col("ratio") >= cutoff)
     w = Window.partitionBy("name").orderBy(F.desc("ratio"), "suggestion")
