@@ -16,8 +16,8 @@ members of large groups of near copies. What is left are larger buckets whose me
 still in different components, mostly texts that only share a heavy common line. For these
 documents candidates are found in another, exact way: two texts that are similar enough
 must share one of the rarest shingles that make up a fifth of each one's weight (prefix
-filtering, rarity by the counted frequencies, then by hash), so that every pair of them
-still gets its measurement.
+filtering, rarity by the counted frequencies, below those by the cells of the first count,
+then by hash), so that every pair of them still gets its measurement.
 
 Defined results: equal word sequences are one class without a measurement; texts without
 words, null and empty ones are linked to texts that equal them (null counts as empty).
@@ -88,12 +88,13 @@ def bucket(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Frequencies:
-    """Documents, the least frequency that is counted, and the shingles that have it (ascending) with their frequencies."""
+    """Documents, the least frequency that is counted, the shingles that have it (ascending) with their frequencies, and documents a cell, up to the floor."""
 
     documents: int
     floor: int
     shingles: np.ndarray
     counts: np.ndarray
+    cells: np.ndarray
 
     def of(self, h: np.ndarray) -> np.ndarray:
         """Frequency of each shingle, the floor if it is lower."""
@@ -105,6 +106,10 @@ class Frequencies:
             out[same] = self.counts[k[same]]
         return out
 
+    def rarity(self, h: np.ndarray, df: np.ndarray) -> np.ndarray:
+        """What shingles are ordered by: a cell holds no fewer documents than each of its shingles, so it tells those under the floor apart that `of` can't."""
+        return np.where(df > self.floor, df, self.cells[bucket(h)])
+
     def idf(self, df: np.ndarray) -> np.ndarray:
         """Between 1 and 1.5: what thousands of near copies share must not weigh so little that their few edits part them."""
         most = np.log(max(self.documents / self.floor, np.e))
@@ -153,8 +158,9 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies
     cells, n = _cells(docs, text_col)
     floor = max(-(-n // FREQUENT), -(-int(cells.sum()) // MOST_COUNTED), 1)
     loud = cells >= max(floor, 2)
+    held_cells = np.minimum(cells, floor).astype(np.int32)
     if not loud.any():
-        return Frequencies(n, floor, np.empty(0, np.uint64), np.empty(0, np.int64))
+        return Frequencies(n, floor, np.empty(0, np.uint64), np.empty(0, np.int64), held_cells)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -185,7 +191,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies
     found = counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(floor, 2)).toArrow()
     h, c = (found.column(i).to_numpy() for i in (0, 1))
     order = np.argsort(h.view(np.uint64))
-    return Frequencies(n, floor, h.view(np.uint64)[order], c[order])
+    return Frequencies(n, floor, h.view(np.uint64)[order], c[order], held_cells)
 
 
 def samples(off: np.ndarray, h: np.ndarray, log_weight: np.ndarray) -> np.ndarray:
@@ -262,7 +268,7 @@ def _signer(known: Frequencies, threshold: float):
                 keys, total, sketch = [None] * (hi - lo), [None] * (hi - lo), [None] * (hi - lo)
                 rare_off, rare, rest = np.zeros(hi - lo + 1, np.int64), np.empty(0, np.uint64), np.empty(0)
                 if len(full):
-                    rare_off, rare, rest = prefixes(off, h, weight, df, threshold)
+                    rare_off, rare, rest = prefixes(off, h, weight, known.rarity(h, df), threshold)
                     sig, sums = samples(off, h, np.log(weight)), np.add.reduceat(weight, off[:-1][full])
                     few = (sig >> np.uint64(56)).astype(np.uint8)
                     for i, k, w, s in zip(full.tolist(), band_keys(sig, sums, threshold), sums.tolist(), few, strict=True):
