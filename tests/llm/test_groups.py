@@ -247,6 +247,45 @@ def test_whole_passages_behind_hot_halves(spark):
     assert by[0].n_repeated == 0 and all(by[i].n_repeated >= 400 for i in range(1, 20)) and sum(x.n_passages for x in by.values()) < 1000
 
 
+def linked(by, x, y, min_words=50, identity=0.8):
+    """Whether a passage of both is told, or follows from their passages with a third document."""
+    x, y = max(x, y), min(x, y)
+    if any(q.other == y for q in by[x].passages):
+        return True
+    for p in by[x].passages:
+        for q in (q for q in by[y].passages if q.other == p.other):
+            common = min(p.other_end, q.other_end) - max(p.other_start, q.other_start)
+            lacks, longest = [], [common]
+            for z in (p, q):
+                theirs, own = z.other_end - z.other_start, z.end - z.start
+                lacks.append(theirs - round(z.identity * max(theirs, own)))
+                longest.append(own - (theirs - common) + min(lacks[-1], theirs - common))
+            if common - max(lacks) >= min_words and common - sum(lacks) >= identity * max(longest):
+                return True
+    return False
+
+
+def test_fuzzy_passages_of_hot_seeds(spark):
+    """Two texts with a passage, each edited in its own way, whose parts many smaller texts have: as if all texts of a seed met."""
+    r = np.random.default_rng(21)
+    docs = []
+    for case in range(6):
+        p = words(90, r)
+        parts = [p[k : k + 24] for k in range(0, 90, 22)] * 12
+        docs += [words(20, r) + x + words(20, r) for x in parts]
+        docs += [words(20, r) + edited(p, 6, r) + words(20, r) for _ in range(2)]
+    near = words(160, r)
+    docs += [edited(near, 8, r) for _ in range(90)] + [words(30, r) + edited(near[50:120], 6, r) + words(10, r) for _ in range(6)]
+    table = frame(spark, [(i, " ".join(w)) for i, w in enumerate(docs)])
+    by, full = ({x.doc_id: x for x in passage_chain.passages(table, all_meet=n, every_copy=False).collect()} for n in (8, 10**9))
+    links = {(i, q.other) for i, x in full.items() for q in x.passages}
+    assert len(links) > 4000 and all(linked(by, *pair) for pair in links)
+    assert sum(len({q.other for q in x.passages}) for x in by.values()) < len(links) / 2
+    covered = lambda x: {k for q in x.passages for k in range(q.start, q.end)}
+    assert all(len(covered(full[i]) - covered(by[i])) <= 16 for i in by)
+    assert all(by[61 + 62 * case].n_repeated > 50 for case in range(6) if full[61 + 62 * case].n_passages)
+
+
 def test_ends_grow_over_edits(spark):
     """55 words whose 3rd and 52nd are changed are a passage; words beyond it that differ aren't."""
     r = np.random.default_rng(10)
