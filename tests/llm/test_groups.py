@@ -2,6 +2,7 @@
 
 import math
 import re
+from itertools import chain
 
 import numpy as np
 import pytest
@@ -286,6 +287,33 @@ def test_fuzzy_passages_of_hot_seeds(spark):
     assert all(by[61 + 62 * case].n_repeated > 50 for case in range(6) if full[61 + 62 * case].n_passages)
 
 
+def test_runs_of_one_word(spark):
+    """Junk of repeated words: links are told or proved, without telling each pair of texts; a run too short for a passage counts with what stands beside it."""
+    r = np.random.default_rng(33)
+    docs = [list(chain.from_iterable([w] * int(r.integers(20, 76)) for w in r.choice(VOCABULARY[:12], 6))) for _ in range(120)]
+    beside = words(14, r)
+    for k in range(4):  # runs of 40 words and 14 words beside them of which one is changed: no other seed need be shared
+        docs.append(words(30, r) + [VOCABULARY[0]] * 40 + [*beside[: 4 + k], f"x{k}", *beside[5 + k :]] + words(30, r))
+    docs.append(words(30, r) + ([VOCABULARY[1]] * 9 + ["y"]) * 12 + words(30, r))
+    table = frame(spark, [(i, " ".join(w)) for i, w in enumerate(docs)])
+    by, full = ({x.doc_id: x for x in passage_chain.passages(table, all_meet=n, every_copy=False).collect()} for n in (8, 10**9))
+    links = {(i, q.other) for i, x in full.items() for q in x.passages}
+    assert len(links) > 1500 and [pair for pair in links if not linked(by, *pair)] == []
+    assert {(121, 120), (122, 121), (123, 122)} <= links and by[124].n_repeated > 100
+    assert sum(len({q.other for q in x.passages}) for x in by.values()) < 0.75 * len(links)
+    covered = lambda x: {k for q in x.passages for k in range(q.start, q.end)}
+    assert all(len(covered(full[i]) - covered(by[i])) <= 32 for i in by)
+
+
+def test_parts_of_a_chain(spark):
+    """Two runs with more unequal words between them than a passage may have are two passages, not none."""
+    a, b, c, d, e, f = VOCABULARY[20:26]
+    docs = [(1, [a] * 52 + [b] * 52 + [c] * 52), (2, [a] * 72 + [d] * 72 + [c] * 72), (3, [e] * 60 + [f] * 60)]
+    by = {x.doc_id: x for x in passage_chain.passages(frame(spark, [(i, " ".join(w)) for i, w in docs])).collect()}
+    assert [(q.start, q.end, q.other, q.other_start) for q in by[2].passages if q.start in (0, 144)] == [(0, 52, 1, 0), (144, 196, 1, 104)]
+    assert by[1].n_passages == by[3].n_passages == 0
+
+
 def test_ends_grow_over_edits(spark):
     """55 words whose 3rd and 52nd are changed are a passage; words beyond it that differ aren't."""
     r = np.random.default_rng(10)
